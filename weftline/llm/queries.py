@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.rules import vulnerability_type
-from weftline.llm import canonical, pieces, related_splits, target_sample
+from weftline.llm import abuse, bpe, canonical, packing, pieces, related_splits, target_sample
 from weftline.llm.records import bundle_number, file_name, grade
 
 
@@ -80,12 +80,54 @@ def p6_sample(spark: SparkSession, sf: str) -> DataFrame:
     return _sampled(spark, sf)[0]
 
 
+def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe.encode_corpus(_read(spark, sf, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
+    sizes = bpe.count_tokens(_read(spark, sf, "documents", "doc_id", "text"), "doc_id", "text")
+    return packing.fill_containers(sizes, "doc_id", "n_tokens")
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that the packer had to cut."""
+    return p8_containers(spark, sf).where("piece_no = 1").select("doc_id")
+
+
+def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.fill_report(p8_containers(spark, sf))
+
+
+#: Documents scored at least so high count as abusive.
+ABUSE_AT = 0.4
+
+
+def p9_scores(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _read(spark, sf, "documents", "doc_id", "source", "text")
+    weights = abuse.fit_scorer(docs, _read(spark, sf, "abuse_labels"))
+    return abuse.score_texts(docs, weights, "doc_id", "text", "source")
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p9_scores(spark, sf).where(F.col("score") >= ABUSE_AT).select("doc_id")
+
+
+def p9_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """Every source (null too) with its documents, flagged documents and rate."""
+    flagged = F.count_if(F.col("score") >= ABUSE_AT)
+    return p9_scores(spark, sf).groupBy("source").agg(
+        F.count(F.lit(1)).alias("n_docs"), flagged.alias("n_flagged"),
+        (flagged / F.count(F.lit(1))).alias("rate"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             p1_found, p1_pieces, p3_found, p3_splits, p4_found, p4_records, p4_hash_clashes,
-            p6_found, p6_report, p6_sample,
+            p6_found, p6_report, p6_sample, p7_ids, p8_found, p8_containers, p8_fill,
+            p9_found, p9_scores, p9_rates,
         )
     }
 
