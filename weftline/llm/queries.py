@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.rules import vulnerability_type
-from weftline.llm import abuse, bpe, canonical, packing, pieces, related_splits, target_sample
+from weftline.llm import abuse, bpe, canonical, neardup, packing, pieces, related_splits, target_sample
 from weftline.llm.records import bundle_number, file_name, grade
+from weftline.llm.shingles import tokenized
 
 
 def _read(spark: SparkSession, sf: str, table: str, *columns: str) -> DataFrame:
@@ -30,6 +31,26 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return p1_pieces(spark, sf).where("piece_no = 1").select("example_id")
 
 
+#: Runs of three words and a similarity of 0.6, as the problem states them.
+RUN, ALIKE = 3, 0.6
+
+
+def _groups(spark: SparkSession, sf: str) -> DataFrame:
+    tokens = tokenized(_sources(spark, sf), "example_id", "function_source")
+    return neardup.near_duplicate_groups(tokens, ALIKE, RUN)
+
+
+def p2_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Every example with its group, null for a null or blank source."""
+    groups = _groups(spark, sf)
+    every = _read(spark, sf, "forge_hyperedge_examples", "example_id")
+    return every.join(groups, every["example_id"] == groups["id"], "left").select("example_id", "grp")
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.group_pairs(_groups(spark, sf))
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     rows = _read(spark, sf, "forge_constructable_hyperedges", "vfp_id", "file").select(
         bundle_number(F.col("vfp_id")).alias("bundle"), file_name(F.col("file")).alias("file")
@@ -125,7 +146,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            p1_found, p1_pieces, p3_found, p3_splits, p4_found, p4_records, p4_hash_clashes,
+            p1_found, p1_pieces, p2_found, p2_groups, p3_found, p3_splits, p4_found, p4_records, p4_hash_clashes,
             p6_found, p6_report, p6_sample, p7_ids, p8_found, p8_containers, p8_fill,
             p9_found, p9_scores, p9_rates,
         )
