@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.rules import vulnerability_type
-from weftline.llm import abuse, bpe, canonical, neardup, packing, pieces, related_splits, target_sample
+from weftline.llm import abuse, bpe, canonical, neardup, overlap, packing, pieces, related_splits, target_sample
 from weftline.llm.records import bundle_number, file_name, grade
 from weftline.llm.shingles import tokenized
 
@@ -77,6 +77,33 @@ def p4_hash_clashes(spark: SparkSession, sf: str) -> DataFrame:
     return canonical.hash_clashes(canonical.copy_signatures(_sources(spark, sf), "example_id", "function_source"))
 
 
+def _overlaps(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Overlapping pairs of texts (ids of examples), of names (ids of hyperedges), and the sides."""
+    sides = overlap.split_sides(_read(spark, sf, "split_items"))
+    sources = _read(spark, sf, "forge_hyperedge_examples", "example_id", "hyperedge_id", "function_source")
+    tokens = tokenized(sources, "example_id", "function_source", "hyperedge_id")
+    names = _read(spark, sf, "forge_constructable_hyperedges", "hyperedge_id", "file", "function")
+    return overlap.source_pairs(tokens, sides, ALIKE, RUN), overlap.name_pairs(names, sides), sides
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    texts, names, _ = _overlaps(spark, sf)
+    return texts.select(F.lit("source").alias("kind"), "id_a", "id_b").unionByName(
+        names.select(F.lit("name").alias("kind"), "id_a", "id_b")
+    )
+
+
+def p5_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Overlaps by kind, evaluation split and split_items.source."""
+    texts, names, sides = _overlaps(spark, sf)
+    examples = _read(spark, sf, "forge_hyperedge_examples", "example_id", "hyperedge_id")
+    of_text = texts.join(examples, texts["eval_id"] == examples["example_id"]).select(
+        F.lit("source").alias("kind"), "train_id", "eval_id", "hyperedge_id"
+    )
+    of_name = names.select(F.lit("name").alias("kind"), "train_id", "eval_id", F.col("eval_id").alias("hyperedge_id"))
+    return overlap.overlap_report(of_text.unionByName(of_name).join(sides, "hyperedge_id"), sides)
+
+
 def _sampled(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     rows = _read(spark, sf, "forge_constructable_hyperedges", "hyperedge_id", "severity", "finding_title")
     category = F.concat(grade(F.col("severity")), F.lit("|"), vulnerability_type(F.col("finding_title")))
@@ -147,7 +174,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             p1_found, p1_pieces, p2_found, p2_groups, p3_found, p3_splits, p4_found, p4_records, p4_hash_clashes,
-            p6_found, p6_report, p6_sample, p7_ids, p8_found, p8_containers, p8_fill,
+            p5_found, p5_report, p6_found, p6_report, p6_sample, p7_ids, p8_found, p8_containers, p8_fill,
             p9_found, p9_scores, p9_rates,
         )
     }
