@@ -33,3 +33,150 @@ def vulnerability_type(title: Column, description: Column | None = None) -> Colu
     if description is not None:
         text = F.concat(text, F.lit(" "), F.coalesce(description, F.lit("")))
     return first_rule(F.lower(text), VTYPES, DEFAULT_VTYPE)
+
+
+# Roots of the interaction weaknesses and their descendants.
+INTERACTION_CWES = [
+    "CWE-1265", "CWE-841", "CWE-691", "CWE-362", "CWE-435", "CWE-670", "CWE-696", "CWE-835",
+    "CWE-674", "CWE-834", "CWE-364", "CWE-366", "CWE-367", "CWE-421", "CWE-436", "CWE-437",
+    "CWE-439", "CWE-662", "CWE-663", "CWE-667", "CWE-764", "CWE-765", "CWE-820", "CWE-821",
+    "CWE-1058", "CWE-1088",
+]
+# Interaction keywords, without regard to case.
+INTERACTION_KEYWORDS = [
+    r"re-?entrancy", r"re-?entrant", r"flash[\s-]?loan", r"front[\s-]?run(?:ning)?", r"sandwich",
+    r"cross[\s-]?contract", r"callback", r"read[\s-]?only[\s-]?re-?entrancy", r"reentrancy",
+]
+# Codes of interaction findings.
+INTERACTION_SWCS = ["SWC-107", "SWC-114", "SWC-104", "SWC-112"]
+# Method sets of call classification.
+LOW_LEVEL = ["call", "delegatecall", "staticcall", "transfer", "send"]
+SAFE_TRANSFER = ["safeTransfer", "safeTransferFrom", "safeApprove", "safeIncreaseAllowance", "safeDecreaseAllowance"]
+ERC_LIKE = ["transfer", "transferFrom", "approve", "balanceOf", "allowance", "mint", "burn", "burnFrom"]
+DEFI = [
+    "deposit", "withdraw", "borrow", "repay", "liquidate", "flashLoan", "execute", "unlock", "lock",
+    "settle", "take", "getSlot0", "accrueInterest", "flash", "claim",
+]
+ORACLE = ["getPrice", "latestAnswer", "latestRoundData"]
+OTHER_EXTERNAL = [
+    "swap", "swapExactTokensForTokens", "swapExactTokensForTokensSupportingFeeOnTransferTokens",
+    "swapTokensForExactTokens", "swapExactETHForTokens", "swapExactTokensForETH", "addLiquidity",
+    "removeLiquidity", "getAmountsOut", "getAmountsIn", "exactInputSingle", "exactInput",
+    "exactOutputSingle", "exactOutput",
+]
+BUILTIN_GLOBALS = [
+    "msg", "block", "tx", "abi", "type", "super", "this", "now", "gasleft", "blockhash", "keccak256",
+    "sha256", "ripemd160", "ecrecover", "addmod", "mulmod", "selfdestruct", "assert", "require",
+    "revert", "emit",
+]
+# Methods that only read.
+READ_ONLY = [
+    "balanceOf", "allowance", "totalSupply", "decimals", "symbol", "name", "getPrice", "latestAnswer",
+    "latestRoundData", "latestRound", "getRoundData", "getLatestPrice", "getPricePerFullShare",
+    "get_virtual_price", "virtualPrice", "getSharesByPooledEth", "getPooledEthByShares", "getReserves",
+    "getAmountsOut", "getAmountsIn", "getLUSDDebt", "getEntireSystemDebt", "getCollateral", "getDebt",
+    "slot0", "positions", "computeAddress", "mul", "div", "add", "sub", "mod",
+]
+# Methods that move value.
+VALUE_TRANSFER = ["transfer", "transferFrom", "approve", "safeTransfer", "safeTransferFrom", "safeApprove", "sendETH", "returnData"]
+
+
+def category_codes(category: Column) -> Column:
+    """All codes of a map of levels to code lists."""
+    return F.flatten(F.map_values(category))
+
+
+def has_interaction_cwe(category: Column) -> Column:
+    """P1."""
+    return F.coalesce(F.arrays_overlap(category_codes(category), F.array(*map(F.lit, INTERACTION_CWES))), F.lit(False))
+
+
+def finding_text(title: Column, description: Column) -> Column:
+    return F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(description, F.lit("")))
+
+
+def has_interaction_keyword(title: Column, description: Column) -> Column:
+    """P2."""
+    return finding_text(title, description).rlike("(?i)" + "|".join(INTERACTION_KEYWORDS))
+
+
+def match_type(by_cwe: Column, by_keyword: Column) -> Column:
+    """Both, cwe-only, keyword-only, or null for no match."""
+    return (
+        F.when(by_cwe & by_keyword, "both").when(by_cwe, "cwe-only").when(by_keyword, "keyword-only")
+    )
+
+
+def swc_of(code: Column, vtype: Column, category: Column) -> Column:
+    """The code, or else what vtype or category holds."""
+    text = F.coalesce(F.nullif(vtype, F.lit("")), category, F.lit(""))
+    derived = F.lit("")
+    for number in ("112", "114", "107", "104"):
+        derived = F.when(text.contains(number), F.lit(f"SWC-{number}")).otherwise(derived)
+    return F.coalesce(F.nullif(code, F.lit("")), derived)
+
+
+def first_filled(*columns: Column) -> Column:
+    """P10: the first value that is neither null nor empty, else empty."""
+    return F.coalesce(*[F.nullif(c, F.lit("")) for c in columns], F.lit(""))
+
+
+def is_contract_type(type_name: Column, known: Column | None = None) -> Column:
+    """Whether a type names a contract; mappings count by their value, arrays by their element."""
+    base = F.trim(F.regexp_replace(F.regexp_replace(type_name, r"(?s)\A.*=>", ""), r"\)+\s*\z", ""))
+    base = F.trim(F.regexp_replace(base, r"[\[\]]+\z", ""))
+    primitive = base.rlike(r"\A(?:address|bool|string|var|byte)\z|\A(?:uint|int|bytes|ufixed|fixed)")
+    hit = base.rlike(r"\A[A-Z]|\A(?:ERC20|ERC721|ERC1155|IERC|SafeERC)")
+    if known is not None:
+        hit = hit | F.array_contains(known, base)
+    return F.coalesce(~primitive & hit, F.lit(False))
+
+
+def classify_call(method: Column, receiver: Column, receiver_type: Column, scope: Column, is_cast: Column, known: Column | None = None) -> Column:
+    """The kind of a member call, null for one that leaves the contract in no way.
+
+    ``receiver_type`` is the declared type of the receiver and ``scope`` where it is declared
+    (``state`` or ``local``), both null for other names. Rules apply in order.
+    """
+    globals_ = receiver.isin(BUILTIN_GLOBALS) & (receiver != "this")
+    named_type = receiver.rlike(r"\AI[A-Z]")
+    if known is not None:
+        named_type = named_type | F.array_contains(known, receiver)
+    return (
+        F.when(globals_ & receiver.isin("msg", "tx") & method.isin(LOW_LEVEL), "low-level")
+        .when(globals_, None)
+        .when(method.isin(LOW_LEVEL), "low-level")
+        .when(method.isin(SAFE_TRANSFER), "safe-transfer")
+        .when(is_contract_type(receiver_type, known) & (scope == "state"), "state-var")
+        .when(is_contract_type(receiver_type, known) & (scope == "local"), "local-var")
+        .when(is_contract_type(receiver, known) & is_cast, "cast")
+        .when(is_contract_type(receiver, known) & named_type, "contract-name")
+        .when(receiver.isNull() | (receiver == "this"), None)
+        .when(method.isin(ERC_LIKE), "erc-like").when(method.isin(DEFI), "defi")
+        .when(method.isin(ORACLE), "oracle").when(method.isin(OTHER_EXTERNAL), "other")
+    )
+
+
+def label_is_invalid(code: Column, view_or_pure: Column, methods: Column) -> Column:
+    """An unchecked-return label on a view or pure function all of whose calls only read.
+
+    Emitted as a proposal; no label is changed. A function without calls only reads.
+    """
+    return code.contains("104") & view_or_pure & F.forall(methods, lambda m: m.isin(READ_ONLY))
+
+
+def label_quality(code: Column, src: Column, methods: Column, state_vars: Column, view_or_pure: Column) -> Column:
+    """CONFIRMED, MISLOCATED, COMMIT_DRIFT or DUBIOUS by ordered rules for each code."""
+    calls, state = F.size(methods) > 0, F.size(state_vars) > 0
+    only_reads = F.forall(methods, lambda m: m.isin(READ_ONLY))
+    delegates = F.exists(methods, lambda m: m.contains("delegatecall")) | src.contains("delegatecall")
+    low = F.exists(methods, lambda m: m.isin("call", "send", "delegatecall", "staticcall", "transfer"))
+    value = F.exists(methods, lambda m: m.isin(VALUE_TRANSFER))
+    return (
+        F.when(src.isNull(), "COMMIT_DRIFT").when(~calls | ~state, "DUBIOUS")
+        .when(code.contains("107"), "CONFIRMED")
+        .when(code.contains("112"), F.when(delegates, "CONFIRMED").otherwise("MISLOCATED"))
+        .when(code.contains("104") & (low | value), "CONFIRMED")
+        .when(code.contains("104") & only_reads, "DUBIOUS")
+        .otherwise("CONFIRMED")
+    )

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from weftline.plans import evaluation, filters, graphs, keys, sampling, source_code, vectors, windows  # noqa: F401
+from weftline.plans.registry import QUERIES, SQL, Query
 
-from pyspark.sql import DataFrame, SparkSession
 
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(sorted(QUERIES.items()))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
