@@ -36,7 +36,7 @@ def _curve(df: DataFrame, label: str, score: str, groups: Sequence[str]) -> Data
     whole = Window.partitionBy(*groups)
     return by.withColumns({
         "tp": F.sum("p").over(down), "fp": F.sum("n").over(down),
-        "P": F.sum("p").over(whole), "N": F.sum("n").over(whole),
+        "all_pos": F.sum("p").over(whole), "all_neg": F.sum("n").over(whole),
     })
 
 
@@ -44,14 +44,14 @@ def roc_auc(df: DataFrame, label: str, score: str, *groups: str) -> DataFrame:
     """Area under the ROC curve with ties at half, 0 where there is one class only."""
     c = _curve(df, label, score, groups)
     # each positive beats the negatives below its score and half of those at it
-    wins = F.sum(F.col("p") * (F.col("N") - F.col("fp") + F.col("n") / 2.0))
-    return c.groupBy(*groups).agg(_div(wins, F.first("P") * F.first("N")).alias("roc_auc"))
+    wins = F.sum(F.col("p") * (F.col("all_neg") - F.col("fp") + F.col("n") / 2.0))
+    return c.groupBy(*groups).agg(_div(wins, F.first("all_pos") * F.first("all_neg")).alias("roc_auc"))
 
 
 def pr_auc(df: DataFrame, label: str, score: str, *groups: str) -> DataFrame:
     """Trapezoids under the precision-recall curve, from recall 0 at precision 1."""
     c = _curve(df, label, score, groups).withColumns({
-        "prec": F.col("tp") / (F.col("tp") + F.col("fp")), "rec": _div(F.col("tp"), F.col("P")),
+        "prec": F.col("tp") / (F.col("tp") + F.col("fp")), "rec": _div(F.col("tp"), F.col("all_pos")),
     })
     down = Window.partitionBy(*groups).orderBy(F.desc("s"))
     c = c.withColumns({"prec0": F.lag("prec", 1, 1.0).over(down), "rec0": F.lag("rec", 1, 0.0).over(down)})
@@ -68,12 +68,12 @@ def threshold_at_recall(df: DataFrame, label: str, score: str, recall: float = 0
     cell = F.floor(F.col(score) * grid + F.lit(1e-9)).cast("long")
     pos = df.where((F.col(label) == 1) & F.col(score).isNotNull()).groupBy(cell.alias("cell")).agg(F.count("*").alias("c"))
     down, whole = Window.orderBy(F.desc("cell")), Window.partitionBy()
-    run = pos.withColumns({"above": F.sum("c").over(down), "P": F.sum("c").over(whole)})
-    ok = run.where(F.col("above") >= F.ceil(F.col("P") * recall - F.lit(1e-9)))
+    run = pos.withColumns({"above": F.sum("c").over(down), "all_pos": F.sum("c").over(whole)})
+    ok = run.where(F.col("above") >= F.ceil(F.col("all_pos") * recall - F.lit(1e-9)))
     return ok.agg(
         F.coalesce(F.max("cell") / grid, F.lit(0.0)).alias("threshold"),
-        F.coalesce(F.min(F.struct("above", "P"))["above"] / F.max("P"), F.lit(0.0)).alias("recall_at"),
-        F.coalesce(F.max("P"), F.lit(0)).alias("n_pos"),
+        F.coalesce(F.min("above") / F.max("all_pos"), F.lit(0.0)).alias("recall_at"),
+        F.coalesce(F.max("all_pos"), F.lit(0)).alias("n_pos"),
     )
 
 

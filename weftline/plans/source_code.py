@@ -1 +1,162 @@
+"""Source texts: calls, events, variants and label rules."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftline.functions import rules, solidity, text
+from weftline.operators import augment
+from weftline.plans.keys import hashed_examples
+from weftline.plans.registry import query, table
+
+_LIST = lambda xs: ", ".join(f"'{x}'" for x in xs)
+_CALLS = "|".join(text.CALL_PATTERNS)
+
+
+def _examples(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "forge_hyperedge_examples")
+
+
+@query(r"""WITH c AS (SELECT example_id, array_to_string(list_filter(list_transform(string_split_regex(regexp_replace(regexp_replace(function_source, '//[^\n]*', '', 'g'), '/\*.*?\*/', '', 'gs'), '\r\n|[\n\r]'),
+  lambda l: trim(regexp_replace(l, '[\s\x0b\x{85}\p{Z}]+', ' ', 'g'))), lambda l: l <> ''), E'\n') AS cleaned FROM forge_hyperedge_examples),
+a AS (SELECT example_id, cleaned, CASE WHEN regexp_matches(cleaned, '\b0x0\b') THEN regexp_replace(cleaned, '\b0x0\b', 'address(0)', 'g') ELSE replace(cleaned, 'address(0)', '0x0') END AS s FROM c)
+SELECT example_id, cleaned, CASE WHEN regexp_matches(s, '\buint\b') THEN regexp_replace(s, '\buint\b', 'uint256', 'g') ELSE regexp_replace(s, '\buint256\b', 'uint', 'g') END AS swapped FROM a""")
+def h01_text_transforms(spark: SparkSession, sf: str) -> DataFrame:
+    """F4, F5, T2, T3."""
+    cleaned = _examples(spark, sf).select("example_id", text.clean_comments(F.col("function_source")).alias("cleaned"))
+    return cleaned.withColumn("swapped", text.swap_literals(F.col("cleaned")))
+
+
+@query(None)
+def h02_reject_cascade(spark: SparkSession, sf: str) -> DataFrame:
+    """Five variants of every training example, verified; a null reason means accepted."""
+    items = _examples(spark, sf).where("function_source is not null").join(
+        table(spark, sf, "split_items").select("hyperedge_id", F.lower(F.trim("split")).alias("split"), "label"), "hyperedge_id"
+    )
+    train = items.where("split = 'train'").select("example_id", "function_source", "label", "state_vars_accessed")
+    held = items.where("split in ('val', 'test')").select(text.source_hash(F.col("function_source")).alias("hash"))
+    tried = augment.variants(train, "example_id", "function_source", "label", "state_vars_accessed")
+    return augment.verify(tried, "example_id", "function_source", "state_vars_accessed", held)
+
+
+# Rejections over rows of events: rows of one user in id order, the value in whole tens as the key.
+_STATEFUL = """WITH t AS (SELECT user_id, event_id, CAST(floor(value / 10) AS BIGINT) AS key, CASE WHEN event_type = 'error' THEN 'error_event' END AS reason FROM events),
+f AS (SELECT *, min(CASE WHEN reason IS NULL THEN event_id END) OVER (PARTITION BY user_id, key) AS first FROM t)
+SELECT event_id, CASE WHEN first < event_id THEN 'duplicate_variant' ELSE reason END AS reason FROM f"""
+
+
+@query(_STATEFUL)
+def h03_first_accepted(spark: SparkSession, sf: str) -> DataFrame:
+    """Accepted rows use up their key, rejected ones do not."""
+    t = table(spark, sf, "events").select(
+        "user_id", "event_id", F.floor(F.col("value") / 10).alias("key"), F.when(F.col("event_type") == "error", "error_event").alias("reason")
+    )
+    return augment.first_accepted(t, "user_id", "event_id", "key").select("event_id", "reason")
+
+
+@query("""SELECT user_id, list(event_type || ':' || event_id ORDER BY ts, event_id) AS seq FROM events GROUP BY 1""")
+def i01_event_sequence(spark: SparkSession, sf: str) -> DataFrame:
+    """The ordered events of each user."""
+    seq = F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type")))
+    return table(spark, sf, "events").groupBy("user_id").agg(seq.alias("s")).select(
+        "user_id", F.transform("s", lambda e: F.concat(e["event_type"], F.lit(":"), e["event_id"].cast("string"))).alias("seq")
+    )
+
+
+@query(rf"""SELECT example_id, len(regexp_extract_all(function_source, '(?i){_CALLS}')) AS n_calls, regexp_extract_all(function_source, '(?i){_CALLS}')[1] AS first_call FROM forge_hyperedge_examples""")
+def i02_call_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """C15."""
+    calls = text.scan_calls(F.col("function_source"))
+    return _examples(spark, sf).select(
+        "example_id", F.when(F.col("function_source").isNotNull(), F.size(calls)).cast("bigint").alias("n_calls"), F.get(calls, F.lit(0)).alias("first_call")
+    )
+
+
+@query(r"""SELECT example_id, list_sort(list_filter(list_distinct(state_vars_accessed), lambda v: regexp_matches(function_source, '(^|[^A-Za-z0-9_])' || v || '($|[^A-Za-z0-9_])'))) AS vars FROM forge_hyperedge_examples WHERE function_source IS NOT NULL AND state_vars_accessed IS NOT NULL""")
+def i03_word_occurrence(spark: SparkSession, sf: str) -> DataFrame:
+    """C17: which of a hyperedge's variables stand in its source as whole words."""
+    df = _examples(spark, sf).where("function_source is not null and state_vars_accessed is not null")
+    found = F.filter(F.array_distinct("state_vars_accessed"), lambda v: text.has_word(F.col("function_source"), v))
+    return df.select("example_id", F.array_sort(found).alias("vars"))
+
+
+_METHOD = r"regexp_extract({c}, '\.(\w+)\s*(?:\{{[^}}]*\}})?\s*\(', 1)"
+_LABELS = rf"""WITH m AS (SELECT e.example_id, e.function_source AS src, s.vtype, state_vars_accessed AS sv, list_transform(external_calls, lambda c: {_METHOD.format(c="c")}) AS m,
+  coalesce(regexp_matches(string_split(lower(function_source), '{{')[1], '\b(view|pure)\b'), false) AS vp
+  FROM forge_hyperedge_examples e JOIN split_items s USING (hyperedge_id))"""
+
+
+def _labelled(spark: SparkSession, sf: str) -> DataFrame:
+    methods = F.transform("external_calls", text.call_method)
+    return _examples(spark, sf).join(table(spark, sf, "split_items", "hyperedge_id", "vtype"), "hyperedge_id").select(
+        "example_id", F.col("function_source").alias("src"), "vtype", F.col("state_vars_accessed").alias("sv"),
+        methods.alias("m"), text.is_view_or_pure(F.col("function_source")).alias("vp"),
+    )
+
+
+@query(_LABELS + f""" SELECT example_id, vp, contains(vtype, '104') AND vp AND len(list_filter(m, lambda x: x NOT IN ({_LIST(rules.READ_ONLY)}))) = 0 AS invalid FROM m""")
+def i04_label_rule(spark: SparkSession, sf: str) -> DataFrame:
+    """Proposals to withdraw a label; nothing is relabelled."""
+    return _labelled(spark, sf).select("example_id", "vp", rules.label_is_invalid(F.col("vtype"), F.col("vp"), F.col("m")).alias("invalid"))
+
+
+@query(_LABELS + f""", q AS (SELECT example_id, CASE WHEN src IS NULL THEN 'COMMIT_DRIFT' WHEN len(m) = 0 OR len(sv) = 0 THEN 'DUBIOUS'
+  WHEN contains(vtype, '107') THEN 'CONFIRMED'
+  WHEN contains(vtype, '112') THEN CASE WHEN len(list_filter(m, lambda x: contains(x, 'delegatecall'))) > 0 OR contains(src, 'delegatecall') THEN 'CONFIRMED' ELSE 'MISLOCATED' END
+  WHEN contains(vtype, '104') AND (list_has_any(m, ['call', 'send', 'delegatecall', 'staticcall', 'transfer']) OR list_has_any(m, [{_LIST(rules.VALUE_TRANSFER)}])) THEN 'CONFIRMED'
+  WHEN contains(vtype, '104') AND len(list_filter(m, lambda x: x NOT IN ({_LIST(rules.READ_ONLY)}))) = 0 THEN 'DUBIOUS' ELSE 'CONFIRMED' END AS quality FROM m)
+SELECT quality, count(*) AS n FROM q GROUP BY 1""")
+def i05_label_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """M15, M16."""
+    quality = rules.label_quality(F.col("vtype"), F.col("src"), F.col("m"), F.col("sv"), F.col("vp"))
+    return _labelled(spark, sf).groupBy(quality.alias("quality")).agg(F.count("*").alias("n"))
+
+
+@query(r"""SELECT example_id, len(list_filter(state_vars_accessed, lambda v: regexp_matches(function_source, '\b' || v || '\b\s*[\[.]?[^\n]*\s*[+\-*/]?='))) > 0 AS writes FROM forge_hyperedge_examples
+WHERE function_source IS NOT NULL AND state_vars_accessed IS NOT NULL""")
+def i06_state_writes(spark: SparkSession, sf: str) -> DataFrame:
+    """C20."""
+    df = _examples(spark, sf).where("function_source is not null and state_vars_accessed is not null")
+    return df.select("example_id", text.writes_any(F.col("function_source"), F.col("state_vars_accessed")).alias("writes"))
+
+
+@query(rf"""WITH c AS (SELECT hyperedge_id, unnest(external_calls) AS call FROM (SELECT DISTINCT hyperedge_id, external_calls FROM forge_constructable_hyperedges)),
+p AS (SELECT call, {_METHOD.format(c="call")} AS m, regexp_extract(call, '^\s*([A-Za-z_$][\w$]*)', 1) AS r, regexp_matches(call, '^\s*[A-Za-z_$][\w$]*\s*\(.*\)\s*\.') AS casts FROM c)
+SELECT CASE WHEN r IN ('msg', 'tx') AND m IN ({_LIST(rules.LOW_LEVEL)}) THEN 'low-level' WHEN r IN ({_LIST(x for x in rules.BUILTIN_GLOBALS if x != "this")}) THEN NULL
+  WHEN m IN ({_LIST(rules.LOW_LEVEL)}) THEN 'low-level' WHEN m IN ({_LIST(rules.SAFE_TRANSFER)}) THEN 'safe-transfer'
+  WHEN regexp_matches(r, '^[A-Z]') AND casts THEN 'cast' WHEN regexp_matches(r, '^I[A-Z]') THEN 'contract-name' WHEN r = 'this' THEN NULL
+  WHEN m IN ({_LIST(rules.ERC_LIKE)}) THEN 'erc-like' WHEN m IN ({_LIST(rules.DEFI)}) THEN 'defi' WHEN m IN ({_LIST(rules.ORACLE)}) THEN 'oracle'
+  WHEN m IN ({_LIST(rules.OTHER_EXTERNAL)}) THEN 'other' END AS kind, count(*) AS n FROM p GROUP BY 1""")
+def i07_call_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Calls of all hyperedges by kind."""
+    calls = table(spark, sf, "forge_constructable_hyperedges", "hyperedge_id", "external_calls").distinct().select(F.explode("external_calls").alias("call"))
+    none = F.lit(None).cast("string")
+    kind = rules.classify_call(
+        text.call_method(F.col("call")), text.call_receiver(F.col("call")), none, none, F.col("call").rlike(r"\A\s*[A-Za-z_$][\w$]*\s*\(.*\)\s*\.")
+    )
+    return calls.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query(r"""SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_\s]')) AS n_tokens FROM documents""")
+def i08_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """F9."""
+    return table(spark, sf, "documents").select("doc_id", text.word_count(F.col("text")).cast("bigint").alias("n_tokens"))
+
+
+@query(None)
+def j01_source_hyperedges(spark: SparkSession, sf: str) -> DataFrame:
+    """Every example's hyperedge built again from its source."""
+    df = _examples(spark, sf).repartition(F.col("example_id"))
+    built = solidity.functions_of(df, "example_id", "function_source", "state_vars_accessed")
+    call = F.col("c")
+    none = F.lit(None).cast("string")
+    scope = F.when(F.map_contains_key("locals", call["receiver"]), "local")
+    kind = rules.classify_call(call["method"], call["receiver"], F.try_element_at("locals", call["receiver"]), F.coalesce(scope, none), call["is_cast"])
+    kinds = built.select("example_id", "locals", F.posexplode("calls").alias("pos", "c")).select("example_id", kind.alias("kind"))
+    external = kinds.where("kind is not null").groupBy("example_id").agg(F.count("*").alias("n_calls"))
+    hashed = hashed_examples(spark, sf).select("example_id", "hash")
+    return built.join(external, "example_id", "left").join(hashed, "example_id").select(
+        "example_id", F.size("identifiers").alias("n_vars"), F.coalesce("n_calls", F.lit(0)).alias("n_calls"),
+        ((F.size("identifiers") > 0) & (F.coalesce("n_calls", F.lit(0)) > 0)).alias("constructable"), F.size("events").alias("n_events"), "hash",
+    )

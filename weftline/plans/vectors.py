@@ -1 +1,38 @@
+"""Pooling and scoring of vectors (M3-M7)."""
 
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftline.operators import vectors
+from weftline.plans.registry import query, table
+
+QUERY = [round(((7 * i) % 11 - 5) / 10, 1) for i in range(64)]
+
+
+@query(f"""WITH e AS (SELECT label, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings WHERE embedding IS NOT NULL),
+w AS (SELECT label, x, exp(list_dot_product(list_transform(x, lambda y: (exp(2*y) - 1) / (exp(2*y) + 1)), {QUERY}::DOUBLE[])) AS w FROM e),
+d AS (SELECT label, w, unnest(x) AS v, generate_subscripts(x, 1) - 1 AS dim FROM w)
+SELECT label, dim, round(sum(w * v) / sum(w), 6) AS pooled FROM d GROUP BY 1, 2""")
+def g01_attention_pool(spark: SparkSession, sf: str) -> DataFrame:
+    """M3: one pooled vector a label, in long form."""
+    pooled = vectors.attention_pool(table(spark, sf, "embeddings", "label", "embedding"), "label", "embedding", QUERY)
+    return pooled.select("label", F.posexplode("pooled").alias("dim", "v")).select("label", F.col("dim").cast("bigint").alias("dim"), F.round("v", 6).alias("pooled"))
+
+
+def _parameters(d: int = 64, hidden: int = 16) -> dict[str, np.ndarray]:
+    rng = np.random.default_rng(42)
+    return {
+        "W": np.eye(d), "b": np.zeros(d), "v": np.array(QUERY), "W1": rng.normal(0, d**-0.5, (hidden, d)),
+        "b1": np.zeros(hidden), "W2": rng.normal(0, hidden**-0.5, hidden), "b2": np.zeros(()),
+    }
+
+
+@query(None)
+def g02_pool_and_score(spark: SparkSession, sf: str) -> DataFrame:
+    """M4, M5, M7: ragged groups of vectors pooled and scored by a two-layer head."""
+    rows = table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 3).alias("item"), "vec_id", "embedding")
+    grouped = rows.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("v"))
+    return vectors.pool_and_score(grouped.select("item", F.transform("v", lambda x: x["embedding"]).alias("v")), "item", "v", _parameters())
