@@ -45,8 +45,8 @@ def read_sources(spark: SparkSession, path: str, glob: str = "*.sol", bundle: st
     With ``bundle`` all files belong to one constant bundle, as for a library.
     """
     df = (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-        .option("pathGlobFilter", glob).option("ignoreCorruptFiles", True).text(path)
+        spark.read.option("ignoreCorruptFiles", True)
+        .text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     )
     return df.withColumn("bundle", F.lit(bundle)) if bundle is not None else df
