@@ -227,7 +227,7 @@ def train(texts: list[str | None], labels: np.ndarray, rounds: int = 3, seed: in
 def fit_scorer(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> np.ndarray:
     """Trains in one task on at most ``limit`` labelled texts; only the weights (half a megabyte)
     come to the driver. Several judgements of a text are averaged; labels without a text and null
-    labels are left out."""
+    labels are left out. Without any label nothing is found abusive."""
     judged = (
         labels.where("abusive is not null and doc_id is not null").groupBy("doc_id")
         .agg(F.avg("abusive").alias("label"))
@@ -242,7 +242,7 @@ def fit_scorer(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) ->
         yield pd.DataFrame({"weights": [out.astype(np.float32).tobytes()]})
 
     row = texts.repartition(1).mapInPandas(run, "weights binary").first()
-    return np.frombuffer(row["weights"], np.float32)
+    return np.frombuffer(row["weights"], np.float32) if row else train([], np.zeros(0))
 
 
 def score_texts(docs: DataFrame, weights: np.ndarray, id_col: str, text_col: str, *keep: str) -> DataFrame:
