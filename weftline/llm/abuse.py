@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 #: else covers all texts.
 MAX_LABELLED = 20_000
 BUCKETS, DIM = 1 << 17, 12
-PASSAGE_CHARS = 400
+PASSAGE_WORDS = 60
+#: Added to the number of subwords when averaging, so that a passage of a word or two says little.
+SHRINK = 4
 
 # Letters of other scripts and signs that stand in for Latin letters.
 LOOKALIKES = {
@@ -39,23 +41,25 @@ _LOOK = str.maketrans(LOOKALIKES)
 _LETTERS_ONLY = str.maketrans({k: v for k, v in LOOKALIKES.items() if k.isalpha()})
 _IDENTIFIER = re.compile(r"\b_?[A-Za-z][a-z]*(?:[A-Z][a-z]{3,}\w*)+(?:\.sol)?\b|\b\w+\.sol\b|\b_\w+")
 _SPELLED = re.compile(r"(?<![^\W_])[^\W\d_](?:[.\-_*·|]{1,2}[^\W\d_]){2,}(?![^\W_])|(?<![^\W_])[^\W\d_](?: [^\W\d_]){3,}(?![^\W_])")
+_DRAWN_OUT = re.compile(r"([^\W\d_])\1{2,}")
 _SIGNS = re.compile(r"[.\-_*·| ]")
-_END = re.compile(r"(?<=[.!?…。！？])[\"'”’)]*\s+|[\r\n|]+| | ")
+_END = re.compile(r"""(?<=[.!?…。！？])["'”’)]*\s+|[\r\n|]+|(?:\\[nrt])+|"\s*[:,}\]]\s*"?|\u2028|\u2029""")
 _WORD = re.compile(r"[^\W_]+(?:[@$#*!+][^\W_]+|[@$#*])*|[@$#*][^\W_]+")
 
 
 def plain(text: str) -> str:
-    """Without invisible characters, compatibility forms and accents; spelled-out words joined."""
+    """Without invisible characters, compatibility forms, accents and drawn-out letters; words
+    spelled letter by letter are joined, identifiers of code replaced by one word."""
     if not text.isascii():
         text = "".join(c for c in text if unicodedata.category(c) != "Cf")
         text = unicodedata.normalize("NFKD", text)
         text = "".join(c for c in text if unicodedata.category(c) != "Mn").translate(_LETTERS_ONLY)
-    text = _IDENTIFIER.sub(" xid ", text)
+    text = _DRAWN_OUT.sub(r"\1", _IDENTIFIER.sub(" xid ", text))
     return _SPELLED.sub(lambda m: _SIGNS.sub("", m.group()), text).lower()
 
 
 def passages(text: str | None) -> list[list[str]]:
-    """The words of each sentence, line or table cell of a text; long ones in parts of equal size."""
+    """The words of each sentence, line, table cell or quoted field of a text; long ones in parts."""
     if not text or not text.strip():
         return []
     out = []
@@ -66,8 +70,8 @@ def passages(text: str | None) -> list[list[str]]:
                 if w.isdigit():
                     continue
                 words.append(w if w.isalpha() else w.translate(_LOOK))
-            step = PASSAGE_CHARS // 6
-            out += [words[i : i + step] for i in range(0, len(words), step)]
+            step = -(-len(words) // max(1, -(-len(words) // PASSAGE_WORDS)))
+            out += [words[i : i + step] for i in range(0, len(words), max(step, 1))]
     return out
 
 
@@ -152,7 +156,7 @@ class Subwords:
                 spot = np.repeat(start[chunk] - (np.cumsum(sz) - sz), sz) + np.arange(sz.sum())
                 f, row = feat[spot], np.repeat(np.arange(len(chunk)), sz)
                 edge = np.cumsum(sz) - sz
-                avg = np.add.reduceat(self.emb[f], edge, axis=0) / sz[:, None]
+                avg = np.add.reduceat(self.emb[f], edge, axis=0) / (sz + SHRINK)[:, None]
                 z = avg @ self.out + self.bias
                 z -= z.max(1, keepdims=True)
                 p = np.exp(z)
@@ -161,7 +165,7 @@ class Subwords:
                 d[np.arange(len(chunk)), label[chunk]] -= 1
                 d *= weight[chunk][:, None]
                 g_out = avg.T @ d
-                g_avg = (d @ self.out.T) / sz[:, None]
+                g_avg = (d @ self.out.T) / (sz + SHRINK)[:, None]
                 self.g_out += g_out**2
                 self.out -= rate * 0.3 * g_out / np.sqrt(self.g_out)
                 self.bias -= 0.01 * d.sum(0)
@@ -181,7 +185,7 @@ def passage_scores(parts: list[list[str]], weights: np.ndarray) -> np.ndarray:
     feat, own = bags(parts)
     size = np.bincount(own, minlength=len(parts))
     total = np.bincount(own, weights[:-1][feat], len(parts))
-    z = total / np.maximum(size, 1) + weights[-1]
+    z = total / (size + SHRINK) + weights[-1]
     return np.where(size > 0, 1 / (1 + np.exp(-z)), 0.0)
 
 
@@ -206,13 +210,11 @@ def train(texts: list[str | None], labels: np.ndarray, rounds: int = 3, seed: in
     use = np.ones(len(parts), bool)
     for turn in range(rounds):
         model = Subwords(seed + turn)
-        pos = max(weight[use & (label == 1)].sum(), 1e-9)
-        lift = min(4.0, max(1.0, weight[use & (label == 0)].sum() / pos / 4))
-        w = np.where(label == 1, weight * lift, weight).astype(np.float32)
+        w = weight.astype(np.float32)
         at = np.flatnonzero(use)
         epochs = int(np.clip(250_000 / len(at), 5, 25))
         model.fit(feat, start[at], size[at], label[at], w[at], epochs)
-        z = np.bincount(own, model.weights()[:-1][feat], len(parts)) / size + model.weights()[-1]
+        z = np.bincount(own, model.weights()[:-1][feat], len(parts)) / (size + SHRINK) + model.weights()[-1]
         # the worst passage of an abusive text stands for it; a text without any bad one is a slip
         best = np.full(len(texts), -np.inf)
         np.maximum.at(best, doc, z)

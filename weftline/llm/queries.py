@@ -147,7 +147,7 @@ def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
 
 
 #: Documents scored at least so high count as abusive.
-ABUSE_AT = 0.4
+ABUSE_AT = 0.25
 
 
 def p9_scores(spark: SparkSession, sf: str) -> DataFrame:
