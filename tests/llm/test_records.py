@@ -140,6 +140,16 @@ def test_full_text_index():
             assert sorted(got[i]) == sorted(want)
 
 
+def test_fingerprints_lose_no_shared_run():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        shared = rng.integers(2, 50, 12)
+        a, b = (np.r_[rng.integers(2, 50, rng.integers(0, 30)), shared, rng.integers(2, 50, rng.integers(0, 30))].astype(np.uint32) for _ in "ab")
+        fp, owner = fulltext.fingerprints(np.r_[a, b], np.array([0, len(a), len(a) + len(b)]), 12)
+        assert set(fp[owner == 0]) & set(fp[owner == 1])
+    assert len(fulltext.fingerprints(np.arange(8, dtype=np.uint32), np.array([0, 8]), 12)[0]) == 0
+
+
 def test_matches_across_sides(spark, monkeypatch):
     monkeypatch.setattr(fulltext, "SHARD_SYMBOLS", 40)
     code = lambda *w: np.array(w, np.uint32).tobytes()
