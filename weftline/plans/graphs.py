@@ -80,7 +80,7 @@ def c04_components(spark: SparkSession, sf: str) -> DataFrame:
     return _bundle_components(spark, sf)[0]
 
 
-@query(_COMPONENTS + """SELECT component, count(*) AS n, count_if(lower(trim(severity)) = 'high') AS high, count_if(lower(trim(severity)) = 'medium') AS medium
+@query(_COMPONENTS + """SELECT component, count(*) AS n, count(*) FILTER (WHERE lower(trim(severity)) = 'high') AS high, count(*) FILTER (WHERE lower(trim(severity)) = 'medium') AS medium
 FROM forge_hyperedge_examples JOIN k ON CAST(regexp_extract(vfp_id, '(\\d+)', 1) AS BIGINT) = node WHERE function_source IS NOT NULL GROUP BY 1""")
 def c05_group_features(spark: SparkSession, sf: str) -> DataFrame:
     """A4: rows of each component by severity."""

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,7 +24,20 @@ def get_session(app: str = "weftline", **conf: str) -> SparkSession:
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return importable(builder.getOrCreate())
+
+
+def importable(spark: SparkSession) -> SparkSession:
+    """Python workers started from now on find this package where the driver found it.
+
+    On a cluster the package must lie at that path, or be installed, on every machine.
+    """
+    root = str(Path(__file__).resolve().parent.parent)
+    env = spark.sparkContext.environment
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
