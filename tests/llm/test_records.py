@@ -104,6 +104,66 @@ def test_groups_of_a_hot_family(spark):
     assert pairs < 700 * 699 / 2 * 0.6
 
 
+def boilerplate_family(rng, n):
+    """Texts that share boilerplate at 0.5 to 0.59; every second one is at little above 0.6 to the one before."""
+    base = ["b%d" % i for i in range(72)]
+    rows = []
+    for i in range(n):
+        own = ["o%d" % x for x in rng.integers(0, 10**8, 28)]
+        if i % 2:
+            own[:5] = rows[-1].split()[72:77]
+        rows.append(" ".join(base + own))
+    return rows
+
+
+def all_links(texts, threshold, k):
+    """Pairs of positions at the threshold, by the runs that at least two texts have."""
+    runs = [{tuple(w[j : j + k]) for j in range(len(w) - k + 1)} for w in map(str.split, texts)]
+    number = {r: i for i, r in enumerate(r for r, n in Counter(r for x in runs for r in x).items() if n > 1)}
+    has = np.zeros((len(texts), len(number)), np.float32)
+    for i, x in enumerate(runs):
+        has[i, [number[r] for r in x if r in number]] = 1
+    both, size = has @ has.T, np.array([len(x) for x in runs])
+    a, b = np.nonzero(np.triu(both / np.maximum(size[:, None] + size[None, :] - both, 1) >= threshold - 1e-6, 1))
+    return {(int(x), int(y)) for x, y in zip(a, b)}
+
+
+def family_tokens(spark, texts, others, rng):
+    rows = list(enumerate(texts)) + [(10_000 + i, " ".join("z%d" % x for x in rng.integers(0, 10**7, 60))) for i in range(others)]
+    return shingles.tokenized(spark.createDataFrame(rows, "id bigint, t string").repartition(4), "id", "t")
+
+
+def test_no_link_is_lost_where_a_block_sends_few_labels(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK_MEMBERS", 2)
+    rng = np.random.default_rng(8)
+    texts = boilerplate_family(rng, 300)
+    assert all_links(texts, 0.6, 3) == {(i, i + 1) for i in range(0, 300, 2)}
+    got = {(r["id"], r["grp"]) for r in neardup.near_duplicate_groups(family_tokens(spark, texts, 600, rng), 0.6, 3).collect()}
+    size = Counter(g for _, g in got)
+    group = dict(got)
+    assert Counter(size.values()) == {2: 150, 1: 600} and all(group[i] == group[i + 1] for i in range(0, 300, 2))
+
+
+@pytest.mark.parametrize("hot, meetings", [(200_000, 2_000_000), (3, 50)])
+def test_missed_pairs_are_all_pairs(spark, monkeypatch, hot, meetings):
+    monkeypatch.setattr(neardup, "HOT_RUN", hot)
+    monkeypatch.setattr(neardup, "MEETINGS", meetings)
+    rng = np.random.default_rng(9)
+    texts = boilerplate_family(rng, 60)
+    for family in range(12):
+        words = ["w%d" % x for x in rng.integers(0, 300, rng.integers(3, 90))]
+        texts += [" ".join(edited(rng, words, rng.integers(0, 9))) for _ in range(8)]
+    texts = list(dict.fromkeys(texts))
+    tokens = family_tokens(spark, texts, 0, rng)
+    key = {r["w"]: r["id"] for r in tokens.select("w", "id").collect()}
+    none = spark.createDataFrame([], "node bigint, component bigint")
+    links = neardup.verified(neardup.missed_pairs(tokens, none, 0.6, 3), tokens, 0.6, 3).collect()
+    want = all_links(texts, 0.6, 3)
+    assert len(want) > 80 and {tuple(sorted((key[r["a"]], key[r["b"]]))) for r in links} == want
+    known = neardup.connected_components(spark.createDataFrame(links))
+    assert neardup.verified(neardup.missed_pairs(tokens, known, 0.6, 3), tokens, 0.6, 3).count() == 0
+
+
 def test_no_groups_in_an_empty_table(spark):
     tokens = shingles.tokenized(spark.createDataFrame([(1, None)], "id bigint, t string"), "id", "t")
     assert neardup.near_duplicate_groups(tokens).count() == 0

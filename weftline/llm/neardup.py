@@ -14,6 +14,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.dataset as ds
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +37,14 @@ SMALL_SUBTREE = 8
 #: One candidate in so many is verified first.
 FIRST_PART = 8
 SEED = 99
+#: Rows are counted by the upper bits of their runs; the table has 4 bytes an entry in each task.
+COUNT_BITS, COUNT_SLICES = 20, 16
+#: Postings met in one task on average, and pairs of them formed at a time.
+PART_POSTINGS, MEETINGS = 2_000_000, 2_000_000
+#: Runs of more rows than this are met in several tasks.
+HOT_RUN = 200_000
+#: Bounds are let go by so much, so that rounding loses no pair.
+SLACK = 1e-6
 
 
 def depth_for(threshold: float, trees: int, recall: float) -> int:
@@ -217,7 +227,7 @@ def near_duplicate_links(tokens: DataFrame, threshold: float = 0.8, k: int = 5,
     SMALL_SUBTREE texts each is held against its neighbours at doubling distances, so no text has
     more than a logarithmic number of partners a tree and no hot group is compared pairwise.
     """
-    return joining_links(forest_candidates(tokens, threshold, k, trees, recall), tokens, threshold, k)
+    return all_links(forest_candidates(tokens, threshold, k, trees, recall), tokens, threshold, k)
 
 
 def joining_links(candidates: DataFrame, tokens: DataFrame, threshold: float, k: int) -> DataFrame:
@@ -239,6 +249,176 @@ def joining_links(candidates: DataFrame, tokens: DataFrame, threshold: float, k:
     return early.unionByName(late)
 
 
+def missed_pairs(tokens: DataFrame, groups: DataFrame, threshold: float, k: int) -> DataFrame:
+    """``a, b``: every pair of texts of different groups that may reach ``threshold``; none is lost.
+
+    ``groups`` (``node, component``) holds the groups known so far. The runs of each text are put in
+    one order for all, those of rare buckets first. Of two texts with overlap o, the shorter x and the
+    longer y, the first common run leaves at least o runs from there on in both, and o is at least
+    t / (1 + t) * (|x| + |y|). So the run is among the first of x that leave 2t / (1 + t) * |x| (the
+    lead) and among the first of y that leave t * |y|; only these are sent, and met by run. Pairs that
+    fail the bound are left out, which ends boilerplate shared below the threshold.
+    """
+    table = materialize(_bucket_counts(tokens, k), "counts")
+    folder = table.inputFiles()[0].rsplit("/", 1)[0]
+    symbols = tokens.agg(F.sum(F.length("tokens") / 4)).first()[0] or 0
+    parts = max(8, -(-int(symbols * (1 - threshold)) // PART_POSTINGS))
+    share, lead_share = threshold / (1 + threshold), 2 * threshold / (1 + threshold)
+    one = tokens.groupBy("w").agg(F.first("tokens").alias("tokens")).join(groups, F.col("w") == F.col("node"), "left")
+    one = one.select("w", F.coalesce("component", "w").alias("grp"), "tokens")
+
+    def postings(batch: pa.RecordBatch, count: np.ndarray) -> pa.RecordBatch | None:
+        w, grp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        run, owner = distinct_runs(*flat(batch.column(2).to_pylist()), k)
+        df = count[run >> np.uint64(64 - COUNT_BITS)]
+        order = np.lexsort((run, df, owner))
+        run, owner, df = run[order], owner[order], df[order]
+        size = np.bincount(owner, minlength=len(w))
+        left = np.cumsum(size)[owner] - np.arange(len(run))  # runs from this one on
+        # a run of one text meets no other
+        sent = np.flatnonzero((left >= threshold * size[owner] - SLACK) & (df > 1))
+        if not len(sent):
+            return None
+        run, owner, left, df = run[sent], owner[sent], left[sent], df[sent]
+        lead = left >= lead_share * size[owner] - SLACK
+        # runs of very many texts are salted: every text has one place, the lead comes to all places
+        salts = np.minimum(-(-df.astype(np.int64) // HOT_RUN), parts)
+        role = np.where(lead & (salts == 1), 3, 1)
+        salt = np.where(salts > 1, (w[owner].view(np.uint64) % salts.astype(np.uint64)).astype(np.int64), 0)
+        spread = np.flatnonzero(lead & (salts > 1))
+        again = np.repeat(spread, salts[spread])
+        place = np.arange(len(again)) - np.repeat(np.cumsum(salts[spread]) - salts[spread], salts[spread])
+        at = np.r_[np.arange(len(run)), again]
+        role, salt = np.r_[role, np.full(len(again), 2)].astype(np.uint8), np.r_[salt, place]
+        part = ((run[at] % np.uint64(parts)).astype(np.int64) + salt) % parts
+        order = np.argsort(part, kind="stable")
+        at, role, part = at[order], role[order], part[order]
+        cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        rows = []
+        for a, b in zip(cuts, np.r_[cuts[1:], len(part)]):
+            here, index = np.unique(owner[at[a:b]], return_inverse=True)
+            rows.append((
+                int(part[a]), run[at[a:b]].tobytes(), index.astype(np.uint16).tobytes(), left[at[a:b]].astype(np.int32).tobytes(),
+                role[a:b].tobytes(), w[here].tobytes(), grp[here].tobytes(), size[here].astype(np.int32).tobytes(),
+            ))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["part", "run", "text", "left", "role", "w", "grp", "size"])
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = None
+        for batch in batches:
+            if count is None:
+                count = _read_counts(folder)
+            for start in range(0, batch.num_rows, BLOCK_TEXTS):
+                if (out := postings(batch.slice(start, BLOCK_TEXTS), count)) is not None:
+                    yield out
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        join = lambda c, kind: np.frombuffer(b"".join(pdf[c]), kind)
+        text = np.concatenate([np.frombuffer(i, np.uint16).astype(np.int64) + at for i, at in zip(pdf["text"], np.cumsum([0, *(len(x) // 8 for x in pdf["w"])]))])
+        a, b = posting_pairs(
+            join("run", np.uint64), join("w", np.int64)[text], join("grp", np.int64)[text], join("size", np.int32)[text].astype(np.int64),
+            join("left", np.int32).astype(np.int64), join("role", np.uint8), share,
+        )
+        return pd.DataFrame({"a": a, "b": b})
+
+    routed = one.mapInArrow(make, "part long, run binary, text binary, left binary, role binary, w binary, grp binary, size binary")
+    return routed.groupBy("part").applyInPandas(meet, "a long, b long").distinct()
+
+
+def distinct_runs(tokens: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different runs of each text, by text."""
+    run, owner = runs(tokens, bounds, k)
+    order = np.lexsort((run, owner))
+    run, owner = run[order], owner[order]
+    fresh = np.r_[True, (run[1:] != run[:-1]) | (owner[1:] != owner[:-1])][: len(run)]
+    return run[fresh], owner[fresh]
+
+
+def _bucket_counts(tokens: DataFrame, k: int) -> DataFrame:
+    """``slice, counts``: the number of rows with a run in each bucket of runs, in COUNT_SLICES
+    slices; for every run at least the number of texts that have it."""
+    width = (1 << COUNT_BITS) // COUNT_SLICES
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = np.zeros(1 << COUNT_BITS, np.uint32)
+        for batch in batches:
+            for start in range(0, batch.num_rows, BLOCK_TEXTS):
+                run, _ = distinct_runs(*flat(batch.column(0).slice(start, BLOCK_TEXTS).to_pylist()), k)
+                got += np.bincount((run >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=1 << COUNT_BITS).astype(np.uint32)
+        parts = [got[i * width : (i + 1) * width].tobytes() for i in range(COUNT_SLICES)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(COUNT_SLICES)), pa.array(parts)], names=["slice", "counts"])
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(width, np.uint32)
+        for x in pdf["counts"]:
+            total += np.frombuffer(x, np.uint32)
+        return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "counts": [total.tobytes()]})
+
+    return tokens.select("tokens").mapInArrow(count, "slice long, counts binary").groupBy("slice").applyInPandas(add, "slice long, counts binary")
+
+
+def _read_counts(folder: str) -> np.ndarray:
+    system, path = fs.FileSystem.from_uri(folder)
+    got = ds.dataset(path, filesystem=system, format="parquet").to_table().sort_by("slice")
+    return np.frombuffer(b"".join(got.column("counts").to_pylist()), np.uint32)
+
+
+def posting_pairs(
+    run: np.ndarray, w: np.ndarray, grp: np.ndarray, size: np.ndarray, left: np.ndarray, role: np.ndarray, share: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of texts of different groups that meet in a run with enough runs left in both.
+
+    role: bit 2 for the shorter text of a pair, bit 1 for the longer. Texts of the most frequent
+    group of a run are never held against each other, so a large group of alike texts costs no more
+    than its meetings with others.
+    """
+    _, rank = np.unique(run, return_inverse=True)
+    order = np.lexsort((grp, rank))
+    edge = np.flatnonzero(np.r_[True, (rank[order][1:] != rank[order][:-1]) | (grp[order][1:] != grp[order][:-1])])
+    held = np.diff(np.r_[edge, len(order)])
+    by_size = np.argsort(held, kind="stable")
+    top = np.zeros(int(rank.max()) + 1, np.int64)
+    top[rank[order][edge][by_size]] = grp[order][edge][by_size]  # the last one written is the largest
+    common = grp == top[rank]
+    short = np.flatnonzero(role & 2)
+    most = np.floor(left[short] / share - size[short] + SLACK).astype(np.int64)
+    short, most = short[most >= size[short]], most[most >= size[short]]
+    found = [np.zeros((0, 2), np.int64)]
+    for long_common in (False, True):
+        far = np.flatnonzero((role & 1 > 0) & (common == long_common))
+        key = rank[far] << 32 | size[far]
+        by_key = np.argsort(key, kind="stable")
+        far, key = far[by_key], key[by_key]
+        near, bound = (short[~common[short]], most[~common[short]]) if long_common else (short, most)
+        lo = np.searchsorted(key, rank[near] << 32 | size[near])
+        n = np.searchsorted(key, rank[near] << 32 | bound, side="right") - lo
+        near, lo, n = near[n > 0], lo[n > 0], n[n > 0]
+        # as many at a time as fit; one text's own meetings are cut too
+        total, at = np.r_[0, np.cumsum(n)], 0
+        while at < total[-1]:
+            flat_at = np.arange(at, min(at + MEETINGS, int(total[-1])))
+            i = np.searchsorted(total, flat_at, side="right") - 1
+            x, y = near[i], far[lo[i] + flat_at - total[i]]
+            ok = (grp[x] != grp[y]) & (np.minimum(left[x], left[y]) >= share * (size[x] + size[y]) - SLACK)
+            a, b = w[x[ok]], w[y[ok]]
+            found.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0))
+            at += MEETINGS
+            if sum(map(len, found)) > 4 * MEETINGS:
+                found = [np.unique(np.concatenate(found), axis=0)]
+    both = np.unique(np.concatenate(found), axis=0)
+    return both[:, 0], both[:, 1]
+
+
+def all_links(candidates: DataFrame, tokens: DataFrame, threshold: float, k: int) -> DataFrame:
+    """Links that make up the same groups as all pairs at ``threshold`` do: those of the candidates,
+    and of the pairs between the groups these leave, every one that is left out being a link
+    within a group or no link."""
+    links = joining_links(candidates, tokens, threshold, k)
+    groups = materialize(connected_components(links), "known")
+    missed = materialize(missed_pairs(tokens, groups, threshold, k), "missed")
+    return links.unionByName(materialize(verified(missed, tokens, threshold, k), "links"))
+
+
 def group_members(tokens: DataFrame, links: DataFrame) -> DataFrame:
     """``id, grp`` of every row of ``tokens``: equal for rows joined by links or as copies."""
     copies = star_edges(tokens, "w", "p")

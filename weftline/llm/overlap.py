@@ -34,7 +34,7 @@ def source_pairs(tokens: DataFrame, sides: DataFrame, threshold: float, k: int)
     matches = fulltext.cross_matches(sided, LEAST_WORDS)
     near = matches.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     found = neardup.forest_candidates(tokens, threshold, k).unionByName(near).distinct()
-    members = neardup.group_members(tokens, neardup.joining_links(found, tokens, threshold, k))
+    members = neardup.group_members(tokens, neardup.all_links(found, tokens, threshold, k))
     placed = materialize(members.join(sided.select("id", "is_train"), "id"), "placed")
     train = placed.where("is_train").select(F.col("id").alias("train_id"), "grp")
     held = placed.where("not is_train").select(F.col("id").alias("eval_id"), "grp")
