@@ -306,3 +306,11 @@ def test_sample_meets_targets(spark):
 @pytest.mark.parametrize("name", sorted(set(queries.queries()) - set(queries.oracle_sql())))
 def test_runs(spark, sf, name):
     assert queries.queries()[name](spark, sf).count() >= 0
+
+
+def test_recall_where_a_third_shares_boilerplate(spark):
+    """A subtree far above SMALL_SUBTREE, in which links stand at any distance in trie order."""
+    rng = np.random.default_rng(10)
+    texts = boilerplate_family(rng, 1000)
+    links = neardup.near_duplicate_links(family_tokens(spark, texts, 2000, rng), 0.6, 3)
+    assert links.distinct().count() == len(all_links(texts, 0.6, 3)) == 500

@@ -5,6 +5,9 @@ must share is shortened from the deepest level until the chance to meet a pair a
 some tree reaches the target recall. Labels are routed by their prefix, sorted (which is the order
 of the leaves of a prefix trie), and neighbours in a subtree become candidates, whose similarity is
 then computed from all their runs of words.
+
+The forest is a first pass: it leaves groups between which few pairs are left to look at. An inverted
+index on the rarest runs of each text finds all of these that can reach the threshold.
 """
 
 from __future__ import annotations
@@ -224,8 +227,8 @@ def near_duplicate_links(tokens: DataFrame, threshold: float = 0.8, k: int = 5,
     enough of them to join all of a group (see ``joining_links``).
 
     Texts without a run of ``k`` words have no similarity to others. In a subtree of more than
-    SMALL_SUBTREE texts each is held against its neighbours at doubling distances, so no text has
-    more than a logarithmic number of partners a tree and no hot group is compared pairwise.
+    SMALL_SUBTREE texts each is held against its neighbours at doubling distances, so no hot group
+    is compared pairwise; what that and the trees leave out is found by ``missed_pairs``.
     """
     return all_links(forest_candidates(tokens, threshold, k, trees, recall), tokens, threshold, k)
 
