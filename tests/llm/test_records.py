@@ -200,6 +200,47 @@ def test_full_text_index():
             assert sorted(got[i]) == sorted(want)
 
 
+def test_every_maximal_match(monkeypatch):
+    monkeypatch.setattr(fulltext, "FOUND_WINDOWS", 20)
+    rng = np.random.default_rng(3)
+    flat = lambda texts: (np.concatenate(texts), np.cumsum([0] + [len(x) for x in texts]))
+    for least in (1, 3, 4) * 8:
+        texts, patterns = ([rng.integers(2, 5, rng.integers(1, 25)).astype(np.uint32) for _ in range(n)] for n in (8, 6))
+        index = fulltext.build_index(np.arange(len(texts)), *flat(texts))
+        index = fulltext.read_index(fulltext.write_rows(0, index).to_dict("records"))
+        got, merged = [], {}
+        for found in fulltext.maximal_matches(index, *flat(patterns), least):
+            got += zip(*(x.tolist() for x in found))
+            merged |= {(p, t): tuple(rest) for p, t, *rest in zip(*(x.tolist() for x in fulltext.merge_spans(len(texts), *found)))}
+        want = []
+        for i, p in enumerate(patterns):
+            for j, t in enumerate(texts):
+                for a in range(len(p)):
+                    for b in range(len(t)):
+                        if a and b and p[a - 1] == t[b - 1]:
+                            continue
+                        n = 0
+                        while a + n < len(p) and b + n < len(t) and p[a + n] == t[b + n]:
+                            n += 1
+                        if n >= least:
+                            want.append((i, j, a, n))
+        assert sorted(got) == sorted(want)
+        cover, most = defaultdict(set), defaultdict(int)
+        for i, j, a, n in want:
+            cover[i, j] |= set(range(a, a + n))
+            most[i, j] = max(most[i, j], n)
+        assert {k: v[1:] for k, v in merged.items()} == {k: (len(v), most[k]) for k, v in cover.items()}
+
+
+def test_a_copy_hides_no_other_match(spark):
+    code = lambda w: np.array(w, np.uint32).tobytes()
+    text = list(range(100, 140))
+    rows = [(1, code(text), True), (2, code(text), False), (3, code([*text[:30], 7, *text[31:]]), False), (4, code([*text[:14], 7, *text[14:26], 8]), False)]
+    sides = spark.createDataFrame(rows, "key bigint, tokens binary, is_train boolean")
+    got = {tuple(r) for r in fulltext.cross_matches(sides, 12).collect()}
+    assert got == {(1, 2, 1, 40, 40), (1, 3, 1, 30, 30), (1, 4, 2, 26, 14)}
+
+
 def test_fingerprints_lose_no_shared_run():
     rng = np.random.default_rng(6)
     for _ in range(200):

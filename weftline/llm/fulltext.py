@@ -2,9 +2,9 @@
 
 The texts of a shard, as sequences of word symbols, are indexed by their Burrows-Wheeler transform:
 for each symbol the ranks at which it stands, delta-coded and compressed in the shared folder, and
-the text of each rank. Training texts are streamed through backward search, all texts of a block in
-step: each step extends every match by one symbol to the left or, where that ends, reports the
-maximal match and starts anew. Matches are merged into spans and counts for each pair of texts.
+the text of each rank and the place in it. Training texts are streamed through backward search, all
+windows of the least length of a block in step; windows found one after another in a text make up a
+maximal match with it. Matches are merged into spans and counts for each pair of texts.
 Training texts meet only the shards with which they share a winnowed fingerprint, which every match
 long enough to be reported implies.
 """
@@ -31,18 +31,22 @@ SHARD_SYMBOLS = 3_000_000
 ROUTED_TEXTS = 8_000
 #: Texts of a block that are searched in step, by symbols.
 BLOCK_SYMBOLS = 400_000
+#: Windows found that are held at a time, those of one text at least.
+FOUND_WINDOWS = 2_000_000
 END = 0
 
 
 @dataclass
 class Index:
     """``lf``: symbol << 32 | rank, sorted, so that a position in it is the next rank of backward
-    search; ``text``: the text (by position in ``keys``) of each rank; ``sizes``: symbols of each text."""
+    search; ``text``: the text (by position in ``keys``) of each rank; ``sizes``: symbols of each text;
+    ``place``: the symbol of its text at which each rank's suffix begins."""
 
     lf: np.ndarray
     text: np.ndarray
     keys: np.ndarray
     sizes: np.ndarray
+    place: np.ndarray
 
 
 def suffix_order(symbols: np.ndarray) -> np.ndarray:
@@ -81,13 +85,14 @@ def build_index(keys: np.ndarray, tokens: np.ndarray, bounds: np.ndarray) -> Ind
     lf = (before.astype(np.uint64) << np.uint64(32)) | np.arange(n, dtype=np.uint64)
     lf.sort()
     # ends come first in the suffix order, as the symbol END does in lf
-    return Index(lf, owner[order].astype(np.int32), keys, sizes)
+    place = np.arange(n) - np.repeat(np.cumsum(sizes + 1) - sizes - 1, sizes + 1)
+    return Index(lf, owner[order].astype(np.int32), keys, sizes, place[order].astype(np.int32))
 
 
 def write_rows(shard: int, index: Index) -> pd.DataFrame:
     """The index as rows of compressed parts: gaps between sorted values instead of the values."""
     deltas = np.diff(np.r_[np.uint64(0), index.lf])
-    parts = {"lf": deltas, "text": index.text, "keys": index.keys, "sizes": index.sizes.astype(np.int64)}
+    parts = {"lf": deltas, "text": index.text, "keys": index.keys, "sizes": index.sizes.astype(np.int64), "place": index.place}
     codec = pa.Codec("zstd")
     return pd.DataFrame(
         [(shard, k, v.dtype.str, v.nbytes, codec.compress(v.tobytes(), asbytes=True)) for k, v in parts.items()],
@@ -98,14 +103,15 @@ def write_rows(shard: int, index: Index) -> pd.DataFrame:
 def read_index(rows: list[dict]) -> Index:
     codec = pa.Codec("zstd")
     part = {r["part"]: np.frombuffer(codec.decompress(r["data"], r["size"], asbytes=True), r["dtype"]) for r in rows}
-    return Index(np.cumsum(part["lf"]), part["text"], part["keys"], part["sizes"])
+    return Index(np.cumsum(part["lf"]), part["text"], part["keys"], part["sizes"], part["place"])
 
 
 def backward_matches(index: Index, tokens: np.ndarray, bounds: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
-    """``pattern, start, length, low, high``: the maximal matches of at least ``least`` symbols.
+    """``pattern, start, length, low, high``: stretches of at least ``least`` symbols.
 
     Read from the right, every pattern is cut into the longest stretches that stand in the index;
-    ``low`` and ``high`` bound the ranks at which a stretch stands.
+    ``low`` and ``high`` bound the ranks at which a stretch stands. A pattern that stands whole is
+    one stretch, but a stretch hides shorter matches with other texts: see ``maximal_matches``.
     """
     sizes = np.diff(bounds)
     order = np.argsort(-sizes, kind="stable")  # patterns still running stay a prefix
@@ -166,6 +172,58 @@ def merge_matches(index: Index, matches: tuple[np.ndarray, ...]) -> tuple[np.nda
     return key // (len(index.keys) + 1), key % (len(index.keys) + 1), spans, covered, longest
 
 
+def maximal_matches(index: Index, tokens: np.ndarray, bounds: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """``pattern, text, start, length`` of every match of at least ``least`` symbols of a pattern with
+    a text that can be extended to neither side; the matches of one pattern come together."""
+    size = np.diff(bounds)
+    owner = np.repeat(np.arange(len(size)), np.maximum(size - least + 1, 0))
+    first = np.cumsum(np.maximum(size - least + 1, 0)) - np.maximum(size - least + 1, 0)
+    at = bounds[:-1][owner] + np.arange(len(owner)) - first[owner]
+    low, high = np.zeros(len(at), np.uint64), np.full(len(at), len(index.lf), np.uint64)
+    for step in range(least - 1, -1, -1):
+        code = tokens[at + step].astype(np.uint64) << np.uint64(32)
+        low, high = np.searchsorted(index.lf, code | low), np.searchsorted(index.lf, code | high)
+        stands = low < high
+        at, owner, low, high = at[stands], owner[stands], low[stands].astype(np.uint64), high[stands].astype(np.uint64)
+    low, count = low.astype(np.int64), (high - low).astype(np.int64)
+    total = np.r_[0, np.cumsum(count)]
+    begin = np.cumsum(index.sizes + 1) - index.sizes - 1
+    edges = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1], True]) if len(owner) else np.zeros(1, np.int64)
+    i = 0
+    while i < len(edges) - 1:
+        j = max(i + 1, int(np.searchsorted(total[edges], total[edges[i]] + FOUND_WINDOWS, side="right")) - 1)
+        a, b = edges[i], edges[j]
+        i = j
+        which = np.repeat(np.arange(a, b), count[a:b])
+        rank = low[which] + np.arange(len(which)) + total[a] - total[which]
+        text, here = index.text[rank].astype(np.int64), at[which]
+        diagonal = here - begin[text] - index.place[rank]
+        order = np.lexsort((here, diagonal))
+        text, here, diagonal, pattern = text[order], here[order], diagonal[order], owner[which][order]
+        new = np.flatnonzero(np.r_[
+            True, (diagonal[1:] != diagonal[:-1]) | (here[1:] != here[:-1] + 1) | (pattern[1:] != pattern[:-1])
+        ])
+        length = np.diff(np.r_[new, len(here)]) + least - 1
+        yield pattern[new], text[new], here[new] - bounds[:-1][pattern[new]], length
+
+
+def merge_spans(texts: int, pattern: np.ndarray, text: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``pattern, text, spans, covered, longest`` for each pattern and text (of ``texts``) with a match:
+    overlapping matches make one span of the pattern, and a symbol counts once."""
+    key = pattern * texts + text
+    order = np.lexsort((start, key))
+    key, start, length = key[order], start[order], length[order]
+    pair, inv = np.unique(key, return_inverse=True)
+    base = inv * (int((start + length).max()) + 1)
+    reached = np.maximum.accumulate(base + start + length)
+    before = np.r_[-1, reached[:-1]]
+    covered = np.bincount(inv, np.maximum(reached - np.maximum(before, base + start), 0), len(pair)).astype(np.int64)
+    spans = np.bincount(inv, base + start >= before, len(pair)).astype(np.int64)
+    longest = np.zeros(len(pair), np.int64)
+    np.maximum.at(longest, inv, length)
+    return pair // texts, pair % texts, spans, covered, longest
+
+
 def index_shards(texts: DataFrame, symbols: int) -> tuple[str, int]:
     """Indexes ``key, tokens`` (distinct texts, ``symbols`` in all) into the shared folder."""
     spark = texts.sparkSession
@@ -256,14 +314,17 @@ def stream_matches(routed: DataFrame, path: str, least: int, whole: bool = False
                 size, block = 0, []
         for block in [*cuts, *([block] if block else [])]:
             tokens, bounds = flat([blobs[i] for i in block])
-            pattern, text, spans, covered, longest = merge_matches(index, backward_matches(index, tokens, bounds, least))
             if whole:
+                pattern, text, spans, covered, longest = merge_matches(index, backward_matches(index, tokens, bounds, least))
                 full = (longest == np.diff(bounds)[pattern]) & (longest == index.sizes[text])
-                pattern, text, spans, covered, longest = (x[full] for x in (pattern, text, spans, covered, longest))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (keys[block][pattern], index.keys[text], spans, covered, longest)],
-                names=["a", "b", "spans", "covered", "longest"],
-            )
+                merged = [tuple(x[full] for x in (pattern, text, spans, covered, longest))]
+            else:
+                merged = (merge_spans(len(index.keys), *found) for found in maximal_matches(index, tokens, bounds, least))
+            for pattern, text, spans, covered, longest in merged:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x) for x in (keys[block][pattern], index.keys[text], spans, covered, longest)],
+                    names=["a", "b", "spans", "covered", "longest"],
+                )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, index = None, None
