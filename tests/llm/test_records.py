@@ -275,6 +275,26 @@ def test_overlaps_against_groups(spark):
     assert [tuple(r)[:2] for r in overlap.name_pairs(names, sides).collect()] == [(11, 13)]
 
 
+def test_matches_of_pairs_by_both_sources(spark):
+    words = ["k%d" % i for i in range(60)]
+    rows = [(1, 11, " ".join(words)), (2, 12, " ".join([*words[:30], "new", *words[31:]])), (3, 13, "a b c d"), (4, 14, "A b c d")]
+    splits = spark.createDataFrame([(11, "train", 1, "s"), (12, "val", 1, "t"), (13, "train", 1, "u"), (14, "test", 1, None)], "hyperedge_id bigint, split string, label int, source string")
+    sides = overlap.split_sides(splits)
+    tokens = shingles.tokenized(spark.createDataFrame(rows, "id bigint, hyperedge_id bigint, t string"), "id", "t", "hyperedge_id")
+    pairs = overlap.source_matches(tokens, sides, 0.6, 3)
+    assert {tuple(r) for r in pairs.collect()} == {(1, 2, 1, 2, 2, 59, 30), (3, 4, 3, 4, 0, 0, 0)}
+
+
+def test_report_by_both_sources(spark, sf):
+    by_eval, by_both = Counter(), Counter()
+    for r in queries.p5_report(spark, sf).collect():
+        by_eval[r["kind"], r["split"], r["source"]] += r["n_pairs"]
+    for r in queries.p5_sources(spark, sf).collect():
+        by_both[r["kind"], r["split"], r["source"]] += r["n_pairs"]
+        assert (r["spans"] is None) == (r["kind"] == "name") and (r["covered"] or 0) >= (r["longest"] or 0)
+    assert by_eval == by_both and by_both
+
+
 @pytest.mark.parametrize("given, want", [
     ("src\\v\\A.sol", "a.sol"), ("./x/A.SOL#L3-L9", "a.sol"), ("\tA.sol ", "a.sol"), ("N/A", None), ("unknown", None), ("  ", None), ("-", None), (None, None),
 ])

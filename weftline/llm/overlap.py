@@ -20,8 +20,8 @@ def split_sides(splits: DataFrame) -> DataFrame:
     ).withColumn("is_train", F.col("split") == "train")
 
 
-def source_pairs(tokens: DataFrame, sides: DataFrame, threshold: float, k: int) -> DataFrame:
-    """``id_a, id_b, train_id, eval_id``: rows of one near-duplicate group on different sides.
+def _source_groups(tokens: DataFrame, sides: DataFrame, threshold: float, k: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of one near-duplicate group on different sides, with their keys, and the matches by keys.
 
     ``tokens`` as from ``tokenized``, with ``hyperedge_id``. Evaluation texts are indexed and
     training texts streamed; matches are verified and join the links that the groups are made of,
@@ -35,10 +35,23 @@ def source_pairs(tokens: DataFrame, sides: DataFrame, threshold: float, k: int)
     near = matches.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     found = neardup.forest_candidates(tokens, threshold, k).unionByName(near).distinct()
     members = neardup.group_members(tokens, neardup.all_links(found, tokens, threshold, k))
-    placed = materialize(members.join(sided.select("id", "is_train"), "id"), "placed")
-    train = placed.where("is_train").select(F.col("id").alias("train_id"), "grp")
-    held = placed.where("not is_train").select(F.col("id").alias("eval_id"), "grp")
-    return _ordered(train.join(held, "grp"))
+    placed = materialize(members.join(sided.select("id", "key", "is_train"), "id"), "placed")
+    train = placed.where("is_train").select(F.col("id").alias("train_id"), F.col("key").alias("a"), "grp")
+    held = placed.where("not is_train").select(F.col("id").alias("eval_id"), F.col("key").alias("b"), "grp")
+    return train.join(held, "grp"), matches
+
+
+def source_pairs(tokens: DataFrame, sides: DataFrame, threshold: float, k: int) -> DataFrame:
+    """``id_a, id_b, train_id, eval_id``: rows of one near-duplicate group on different sides."""
+    return _ordered(_source_groups(tokens, sides, threshold, k)[0])
+
+
+def source_matches(tokens: DataFrame, sides: DataFrame, threshold: float, k: int) -> DataFrame:
+    """The pairs of ``source_pairs`` with ``spans, covered, longest`` of what they share in runs of at
+    least LEAST_WORDS words, all 0 if there is none."""
+    pairs, matches = _source_groups(tokens, sides, threshold, k)
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("spans", "covered", "longest")]
+    return _ordered(pairs, "a", "b").join(matches, ["a", "b"], "left").select("id_a", "id_b", "train_id", "eval_id", *counts)
 
 
 def name_pairs(hyperedges: DataFrame, sides: DataFrame) -> DataFrame:
@@ -66,10 +79,10 @@ def name_pairs(hyperedges: DataFrame, sides: DataFrame) -> DataFrame:
     return _ordered(pairs)
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
+def _ordered(pairs: DataFrame, *keep: str) -> DataFrame:
     return pairs.where("train_id <> eval_id").select(
         F.least("train_id", "eval_id").alias("id_a"), F.greatest("train_id", "eval_id").alias("id_b"),
-        "train_id", "eval_id",
+        "train_id", "eval_id", *keep,
     ).distinct()
 
 
@@ -79,3 +92,13 @@ def overlap_report(pairs: DataFrame, sides: DataFrame) -> DataFrame:
     return pairs.groupBy("kind", "split", "source").agg(
         F.count(F.lit(1)).alias("n_pairs"), F.count_distinct("eval_id").alias("n_records")
     )
+
+
+def source_report(pairs: DataFrame) -> DataFrame:
+    """``kind, train_source, split, source, n_pairs, n_records, spans, covered, longest``: overlaps by
+    the sources of both sides with the spans and words that the pairs share and the longest match
+    (null for names), from ``kind, train_id, eval_id, spans, covered, longest, train_source, split, source``."""
+    return pairs.groupBy("kind", "train_source", "split", "source").agg(
+        F.count(F.lit(1)).alias("n_pairs"), F.count_distinct("eval_id").alias("n_records"),
+        F.sum("spans").alias("spans"), F.sum("covered").alias("covered"), F.max("longest").alias("longest"),
+    )
