@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -84,6 +85,20 @@ def test_all_limits_of_a_container_hold():
     assert np.bincount(box, tokens).max() <= 300
 
 
+def test_the_limit_on_loss_closes_containers(spark):
+    rows = [(i, 100, 10) for i in range(60)] + [(100 + i, 500, 0) for i in range(4)] + [(200, 3000, 70), (201, 40, 90), (202, 30, None)]
+    df = spark.createDataFrame(rows, "id bigint, n int, loss int")
+    got = packing.fill_containers(df, "id", "n", max_loss=50, loss_col="loss").collect()
+    size, loss, tokens = {r[0]: r[1] for r in rows}, {r[0]: r[2] for r in rows}, Counter()
+    held = Counter()
+    for r in got:
+        end, first = r["start_token"] + r["n_tokens"], size[r["id"]] - min(loss[r["id"]] or 0, size[r["id"]])
+        held[r["container_id"]] += r["n_tokens"] - 1 if loss[r["id"]] is None else max(0, end - max(r["start_token"], first))
+        tokens[r["id"]] += r["n_tokens"]
+    assert max(held.values()) <= 50 and tokens == size and len(held) >= (600 + 70 + 40 + 29) / 50
+    assert len({r["container_id"] for r in packing.fill_containers(df, "id", "n").collect()}) < len(held)
+
+
 @pytest.mark.parametrize("limit, overlap", [(1200, 120), (40, 5), (30, 0)])
 def test_pieces(spark, limit, overlap):
     code = "function f() {\r\n    a = 1; // 𝒜\n    if (b) {\n        c();\n    }\n\n}\n" * 60

@@ -64,25 +64,35 @@ def pack_block(
 def fill_containers(
     sizes: DataFrame, id_col: str, size_col: str, capacity: int = 2048,
     max_segments: int = 256, max_loss: int | None = None,
+    loss_col: str | None = None,
 ) -> DataFrame:
     """``<id_col>, piece_no, n_pieces, start_token, n_tokens, container_id`` of every row.
 
     A row is one segment, whole, unless its size exceeds the capacity: then it comes out in
     pieces of ``capacity``, each filling a container alone, and a last piece packed like any
-    other row. The loss-bearing tokens of a segment are all but its first, which nothing predicts.
+    other row. ``loss_col`` has the loss-bearing tokens of a row, which are taken to be its last ones,
+    as an answer after a masked prompt; without it, or where it is null, all but the first of a
+    segment, which nothing predicts. No container has more than ``max_loss`` (the capacity, if not
+    given) of them: a row whose pieces would is cut to pieces of that many tokens instead.
     A row of size 0 or null takes no room: one piece of 0 tokens, container null. Ids need not be
     unique: every row is packed. Container ids are unique, not consecutive.
     """
     max_loss = max_loss or capacity
     n = F.coalesce(F.col(size_col), F.lit(0)).cast("long")
+    given = F.when(F.col(loss_col).isNotNull(), F.least(F.greatest(F.col(loss_col).cast("long"), F.lit(0)), n)) if loss_col else F.lit(None).cast("long")
+    most = F.least(F.coalesce(F.col("__given"), F.col("__n") - 1), F.lit(capacity) - F.when(F.col("__given").isNull(), 1).otherwise(0))
+    end = F.col("start_token") + F.col("n_tokens")
+    own = F.greatest(F.lit(0), end - F.greatest(F.col("start_token"), F.col("__n") - F.col("__given")))
     pieces = (
-        sizes.select(F.col(id_col), n.alias("__n"))
-        .withColumn("n_pieces", F.greatest(F.lit(1), F.ceil(F.col("__n") / capacity)).cast("int"))
+        sizes.select(F.col(id_col), n.alias("__n"), given.alias("__given"))
+        .withColumn("__step", F.when(most <= max_loss, capacity).otherwise(min(capacity, max_loss)).cast("long"))
+        .withColumn("n_pieces", F.greatest(F.lit(1), F.ceil(F.col("__n") / F.col("__step"))).cast("int"))
         .withColumn("piece_no", F.explode(F.sequence(F.lit(0), F.col("n_pieces") - 1)))
-        .withColumn("start_token", F.col("piece_no").cast("long") * capacity)
-        .withColumn("n_tokens", F.least(F.lit(capacity).cast("long"), F.col("__n") - F.col("start_token")))
+        .withColumn("start_token", F.col("piece_no").cast("long") * F.col("__step"))
+        .withColumn("n_tokens", F.least(F.col("__step"), F.col("__n") - F.col("start_token")))
+        .withColumn("__loss", F.when(F.col("__given").isNull(), F.greatest(F.lit(0), F.col("n_tokens") - 1)).otherwise(own))
         .withColumn("__key", F.concat(F.monotonically_increasing_id().cast("string"), F.lit(":"), F.col("piece_no").cast("string")))
-        .drop("__n")
+        .drop("__n", "__given", "__step")
     )
     pieces = materialize(pieces, "pieces")
     loose = pieces.where(f"n_tokens > 0 and n_tokens < {capacity}")
@@ -92,13 +102,13 @@ def fill_containers(
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         size = pdf["n_tokens"].to_numpy(np.int64)
-        box = pack_block(size, np.maximum(size - 1, 0), capacity, max_segments, max_loss)
-        return pdf.assign(container_id=box * blocks + pdf["block"].to_numpy())
+        box = pack_block(size, pdf["__loss"].to_numpy(np.int64), capacity, max_segments, max_loss)
+        return pdf.drop(columns="__loss").assign(container_id=box * blocks + pdf["block"].to_numpy())
 
     columns = [id_col, "piece_no", "n_pieces", "start_token", "n_tokens"]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in loose.select(*columns).schema)
     packed = (
-        loose.select(*columns, block).groupBy("block")
+        loose.select(*columns, "__loss", block).groupBy("block")
         .applyInPandas(pack, f"{fields}, block long, container_id long").drop("block")
     )
     # full pieces have a container each, numbered below zero
