@@ -1,4 +1,4 @@
-"""Variants of function sources and their verification."""
+"""Variants of function sources and their verification (T1-T9 without the cross-flag step of T6)."""
 
 from __future__ import annotations
 

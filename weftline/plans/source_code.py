@@ -1,4 +1,5 @@
-"""Source texts: calls, events, variants and label rules."""
+"""Source texts: calls, events, variants and label rules (C1-C20 without C3, C11 and C12, T1-T9 without
+the cross-flag step of T6, F4, F5, F9, M15-M17)."""
 
 from __future__ import annotations
 
@@ -30,7 +31,8 @@ def h01_text_transforms(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(None)
 def h02_reject_cascade(spark: SparkSession, sf: str) -> DataFrame:
-    """Five variants of every training example, verified; a null reason means accepted."""
+    """T1-T9, but for the cross-flag step of T6: five variants of every training example, verified; a null
+    reason means accepted."""
     items = _examples(spark, sf).where("function_source is not null").join(
         table(spark, sf, "split_items").select("hyperedge_id", F.lower(F.trim("split")).alias("split"), "label"), "hyperedge_id"
     )
@@ -147,7 +149,7 @@ def i08_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(None)
 def j01_source_hyperedges(spark: SparkSession, sf: str) -> DataFrame:
-    """Every example's hyperedge built again from its source."""
+    """C1, C2, C4-C6, C10, C13, no cross-contract flag: every example's hyperedge built again from its source."""
     df = _examples(spark, sf).repartition(F.col("example_id"))
     built = solidity.functions_of(df, "example_id", "function_source", "state_vars_accessed")
     call = F.col("c")
