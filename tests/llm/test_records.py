@@ -338,6 +338,14 @@ def test_search_improves_on_its_start():
     assert np.abs(total[:, 0] / total[:, 0].sum() - shares).max() < 0.01
 
 
+def test_search_of_many_units_is_as_fine():
+    rng = np.random.default_rng(5)
+    size = np.maximum(1, 3000 / np.arange(1, 12_289) ** 0.8).astype(int)
+    sizes = np.c_[size, rng.binomial(size, 0.2)].astype(float)
+    cost, place = related_splits._search(sizes, np.array([0.7, 0.15, 0.15]), rng.integers(0, 3, len(size)), 0, 20_000)
+    assert cost < 0.001 and len(place) == len(size)
+
+
 def test_counts_are_repaired():
     have, target, floor = np.array([1000, 500, 5, 300]), np.array([0.2, 0.3, 0.1, 0.4]), np.array([3, 3, 3, 3])
     n = target_sample.repair_counts(have, target, floor, 200)

@@ -21,6 +21,8 @@ from weftline.session import materialize
 #: Components that the search moves one by one, largest first; the others move in TAIL_UNITS
 #: bundles of whole components. Both bound the table of one chain, whatever the input.
 LARGE_UNITS, TAIL_UNITS = 8_192, 4_096
+#: Proposals of a chain for each unit, where that is more than its least number of steps.
+UNIT_STEPS = 10
 
 
 def bundle_components(df: DataFrame, bundle: str, file: str) -> DataFrame:
@@ -55,6 +57,8 @@ def _search(sizes: np.ndarray, shares: np.ndarray, start: np.ndarray, seed: int,
 
     sizes: units x (1 + labels), rows and rows by label. The deviation is the sum over splits of
     the share of rows off target, and of every label's share off target weighted by the label.
+    Half of the proposals choose a unit in proportion to its rows, half any unit. There are at least
+    ``steps`` proposals, or UNIT_STEPS for each unit if that is more; none if ``steps`` is 0.
     """
     rng, k, n = np.random.default_rng(seed), len(shares), len(sizes)
     total = sizes.sum(0)
@@ -66,9 +70,13 @@ def _search(sizes: np.ndarray, shares: np.ndarray, start: np.ndarray, seed: int,
     now = start.copy()
     cost = (np.abs(have - target) * scale).sum()
     best, kept = cost, now.copy()
+    steps = max(steps, UNIT_STEPS * n) if steps else 0
+    drawn = np.cumsum(sizes[:, 0])
     for step in range(steps if n > 1 else 0):
         heat = 0.02 * (1 - step / steps) ** 3
         i = rng.integers(n)
+        if rng.random() < 0.5:
+            i = min(int(np.searchsorted(drawn, rng.random() * drawn[-1], side="right")), n - 1)
         to = rng.integers(k)
         if to == now[i]:
             continue
