@@ -7,11 +7,15 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_scratch: list[str] = []
+#: Folders written inside each open ``scratch`` block, the innermost last.
+_open: list[list[str]] = []
 
 
 def get_session(app: str = "weftline", **conf: str) -> SparkSession:
@@ -59,7 +63,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/weftline-{name}-{uuid.uuid4().hex[:12]}"
+    """A new folder in the shared one, as a whole URI that any machine reads in the same way."""
+    path = f"{shared_dir(spark)}/weftline-{name}-{uuid.uuid4().hex[:12]}"
+    raw = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = raw.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(raw).toString()
+    uri = uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
+    if _open:
+        _open[-1].append(uri)
+    return uri
 
 
 def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
@@ -68,14 +79,38 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._weftline_folder = path
+    return out
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[..., None]]:
+    """A block at whose end the folders written inside are deleted, but for those of the tables
+    (as ``materialize`` gave them) that were handed to the function it yields. These pass on to the
+    block around it, if there is one."""
+    _open.append([])
+    kept: set[str] = set()
+
+    def keep(*tables: DataFrame) -> None:
+        kept.update(t._weftline_folder for t in tables)
+
+    try:
+        yield keep
+    finally:
+        written = _open.pop()
+        if _open:
+            _open[-1].extend(f for f in written if f in kept)
+        for folder in written:
+            if folder not in kept:
+                _delete(spark, folder)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def remove(df: DataFrame) -> None:
-    """Delete the files of a table made by ``materialize`` that nothing reads any more."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/weftline-" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+    """Delete a table made by ``materialize`` that nothing reads any more."""
+    _delete(df.sparkSession, df._weftline_folder)
