@@ -285,6 +285,36 @@ def test_matches_of_pairs_by_both_sources(spark):
     assert {tuple(r) for r in pairs.collect()} == {(1, 2, 1, 2, 2, 59, 30), (3, 4, 3, 4, 0, 0, 0)}
 
 
+def test_direct_pairs_come_from_the_index(spark, monkeypatch):
+    """Without forest and inverted index every pair across the sides that is alike by itself is still found."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for family in range(40):
+        words = ["w%d" % x for x in rng.integers(0, 10**6, rng.integers(50, 120))]
+        rows += [(len(rows) + j, len(rows) + j, " ".join(edited(rng, words, rng.integers(0, 7)))) for j in range(3)]
+    side = {i: ["train", "val", "test", None][rng.integers(4)] for i, _, _ in rows}
+    splits = spark.createDataFrame([(i, s, 1, "s") for i, s in side.items()], "hyperedge_id bigint, split string, label int, source string")
+    tokens = shingles.tokenized(spark.createDataFrame(rows, "id bigint, hyperedge_id bigint, t string"), "id", "t", "hyperedge_id")
+    none = spark.createDataFrame([], "a bigint, b bigint")
+    monkeypatch.setattr(neardup, "forest_candidates", lambda *_: none)
+    monkeypatch.setattr(neardup, "missed_pairs", lambda *_: none)
+    got = {(r["id_a"], r["id_b"]) for r in overlap.source_pairs(tokens, overlap.split_sides(splits), 0.6, 3).collect()}
+    links = all_links([t for _, _, t in rows], 0.6, 3)
+    want = {(a, b) for a, b in links if None not in (side[a], side[b]) and (side[a] == "train") != (side[b] == "train")}
+    assert len(want) > 20 and want <= got
+
+
+def test_prefixes_are_shortened_while_subtrees_stay_small():
+    byte = lambda *levels: sum(x << (56 - 8 * i) for i, x in enumerate(levels))
+    label = [byte(1, 1, i) for i in range(3)] + [byte(2, i // 2, i % 2) for i in range(20)] + [byte(1, 1, 0)]
+    tree = np.array([0] * 23 + [1], np.uint16)
+    got = {tuple(x) for x in neardup.trie_pairs(tree, np.array(label, np.uint64), np.arange(24), 1).tolist()}
+    small = {(a, b) for a, b in combinations(range(3), 2)}
+    # a subtree of twenty is not paired as a whole: its children are, and neighbours
+    assert got == small | {(i, i + 1) for i in range(3, 22)}
+    assert len(neardup.trie_pairs(tree[:1], np.zeros(1, np.uint64), np.zeros(1, np.int64), 1)) == 0
+
+
 def test_report_by_both_sources(spark, sf):
     by_eval, by_both = Counter(), Counter()
     for r in queries.p5_report(spark, sf).collect():

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.shingles import flat, runs
-from weftline.session import materialize, new_path
+from weftline.session import materialize, new_path, scratch
 
 #: Symbols of one shard on average: bounds the index that a task holds at a time (about 24 bytes each).
 SHARD_SYMBOLS = 3_000_000
@@ -241,7 +241,7 @@ def index_shards(texts: DataFrame, symbols: int) -> tuple[str, int]:
 
     (
         texts.select("key", "tokens", shard_of(shards).alias("shard"))
-        .groupBy("shard").applyInPandas(build, "shard long, part string, dtype string, size long, data binary")
+        .repartition(shards, "shard").groupBy("shard").applyInPandas(build, "shard long, part string, dtype string, size long, data binary")
         .write.option("compression", "none").partitionBy("shard").parquet(path)
     )
     return path, shards
@@ -300,7 +300,7 @@ def stream_matches(routed: DataFrame, path: str, least: int, whole: bool = False
     """
 
     def load(shard: int) -> Index:
-        system, folder = fs.FileSystem.from_uri(f"{path}/shard={shard}") if "://" in path else (fs.LocalFileSystem(), f"{path}/shard={shard}")
+        system, folder = fs.FileSystem.from_uri(f"{path}/shard={shard}")
         return read_index(ds.dataset(folder, filesystem=system, format="parquet").to_table().to_pylist())
 
     def search(index: Index, keys: np.ndarray, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
@@ -352,11 +352,14 @@ def cross_matches(sides: DataFrame, least: int, whole: bool = False) -> DataFram
     symbols = indexed.agg(F.sum(F.length("tokens") / 4 + 1)).first()[0]
     if not symbols:
         return sides.sparkSession.createDataFrame([], "a long, b long, spans long, covered long, longest long")
-    path, shards = index_shards(indexed, int(symbols))
-    routes = materialize(route(streamed, indexed, shards, least), "routes")
-    groups = max(1, routes.count() // ROUTED_TEXTS)
-    salt = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(-(-groups // shards))).alias("salt")
-    once = streamed.groupBy("key").agg(F.first("tokens").alias("tokens"))
-    routed = routes.join(once, "key").select("key", "tokens", "shard", salt)
-    placed = routed.repartition(max(1, min(groups, 100_000)), "shard", "salt").sortWithinPartitions("shard")
-    return materialize(stream_matches(placed, path, least, whole), "matches")
+    with scratch(sides.sparkSession) as keep:
+        path, shards = index_shards(indexed, int(symbols))
+        routes = materialize(route(streamed, indexed, shards, least), "routes")
+        groups = max(1, routes.count() // ROUTED_TEXTS)
+        salt = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(-(-groups // shards))).alias("salt")
+        once = streamed.groupBy("key").agg(F.first("tokens").alias("tokens"))
+        routed = routes.join(once, "key").select("key", "tokens", "shard", salt)
+        placed = routed.repartition(max(1, min(groups, 100_000)), "shard", "salt").sortWithinPartitions("shard")
+        matches = materialize(stream_matches(placed, path, least, whole), "matches")
+        keep(matches)
+    return matches

@@ -1,13 +1,14 @@
 """Near-duplicate records with small edits (problem 2): MinHash LSH forest.
 
-Every text has a label of MinHash values in each tree of a forest. The label prefix that two texts
-must share is shortened from the deepest level until the chance to meet a pair at the threshold in
-some tree reaches the target recall. Labels are routed by their prefix, sorted (which is the order
-of the leaves of a prefix trie), and neighbours in a subtree become candidates, whose similarity is
-then computed from all their runs of words.
-
-The forest is a first pass: it leaves groups between which few pairs are left to look at. An inverted
-index on the rarest runs of each text finds all of these that can reach the threshold.
+Every text has a label in each tree of a forest, one byte of a MinHash value for each of eight levels.
+Sorting labels gives the leaves of a prefix trie in order. The prefix that two texts must share is
+shortened from the deepest level on, for each subtree by itself: as long as it stays small, and no
+further than where the chance to meet a pair at the threshold in some tree reaches the target recall.
+What then shares a subtree becomes a candidate, whose similarity is computed from all runs of words.
+
+In a subtree that is still large at the depth of the target recall the forest meets only part of the
+pairs. These, and the few it misses elsewhere, are found by an inverted index on the rarest runs of
+each text, which looks at pairs between groups only and loses none that can reach the threshold.
 """
 
 from __future__ import annotations
@@ -24,18 +25,18 @@ from pyspark.sql import functions as F
 
 from weftline.llm.shingles import flat, mix, runs
 from weftline.operators.components import connected_components, star_edges
-from weftline.session import materialize
+from weftline.session import materialize, scratch
 
 DEEPEST = 8
 #: Texts of one task's block, whose labels are made and sent together.
 BLOCK_TEXTS = 4_000
 #: Labels sorted in one task on average.
 PART_LABELS = 2_000_000
-#: A subtree with more members within one block sends only so many of them on; the others are
-#: paired with these on the spot.
+#: A subtree with more members within one block sends only so many of them on, spread over the trie;
+#: all its members are paired within the block.
 BLOCK_MEMBERS = 16
-#: Subtrees up to this size give all their pairs (a constant number a text), larger ones neighbours at
-#: distances 1, 2, 4, ... in trie order.
+#: A prefix is shortened while its subtree has at most so many members, which all become candidates of
+#: each other (a constant number a text); larger subtrees give neighbours in trie order.
 SMALL_SUBTREE = 8
 #: One candidate in so many is verified first.
 FIRST_PART = 8
@@ -59,84 +60,89 @@ def depth_for(threshold: float, trees: int, recall: float) -> int:
     return 1
 
 
-def labels(tokens: np.ndarray, bounds: np.ndarray, trees: int, depth: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+def labels(tokens: np.ndarray, bounds: np.ndarray, trees: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Labels (texts x trees) of the texts that have a run of ``k`` words, and which these are.
 
-    The upper 40 bits of a label are the tree and its prefix of ``depth`` values, the lower 24
-    three further levels of 8 bits, so that sorting labels visits the trie in order.
+    A label has a byte for each of DEEPEST levels, the first one highest, each of an own MinHash
+    value, so that sorting labels visits the trie in order.
     """
     x, owner = runs(tokens, bounds, k)
     texts, first = np.unique(owner, return_index=True)
     if not len(texts):
         return np.zeros((0, trees), np.uint64), texts
     rng = np.random.default_rng(SEED)
-    mul = rng.integers(0, 1 << 63, trees * depth, np.uint64) * np.uint64(2) + np.uint64(1)
-    add = rng.integers(0, 1 << 64, trees * depth, np.uint64)
-    low = np.empty((len(mul), len(texts)), np.uint64)
+    mul = rng.integers(0, 1 << 63, trees * DEEPEST, np.uint64) * np.uint64(2) + np.uint64(1)
+    add = rng.integers(0, 1 << 64, trees * DEEPEST, np.uint64)
+    out = np.zeros((trees, len(texts)), np.uint64)
     buffer = np.empty_like(x)
     for j in range(len(mul)):
         np.multiply(x, mul[j], out=buffer)
         np.add(buffer, add[j], out=buffer)
-        low[j] = np.minimum.reduceat(buffer, first)
-    low = mix(low).reshape(trees, depth, len(texts))
-    out = np.empty((len(texts), trees), np.uint64)
-    for t in range(trees):
-        prefix = np.full(len(texts), t + 1, np.uint64)
-        for level in range(depth):
-            prefix = mix(prefix * np.uint64(0x100000001B3) + low[t, level])
-        label = prefix >> np.uint64(24) << np.uint64(24)
-        for level in range(3):
-            label |= (low[(t + 1) % trees, level % depth] >> np.uint64(56)) << np.uint64(16 - 8 * level)
-        out[:, t] = label
-    return out, texts
-
-
-def subtree_pairs(label: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs of texts whose labels share the prefix; the smaller key first, no repeats."""
-    order = np.lexsort((w, label))
-    prefix, w = (label >> np.uint64(24))[order], w[order]
-    n = len(w)
-    if n < 2:
-        return w[:0], w[:0]
-    first = np.flatnonzero(np.r_[True, prefix[1:] != prefix[:-1]])
-    size = np.diff(np.r_[first, n])
-    group = np.repeat(np.arange(len(first)), size)
-    big = size[group] > SMALL_SUBTREE
-    left, right = [], []
-    gap, most = 1, int(size.max())
-    while gap < most:
-        at = np.flatnonzero(group[:-gap] == group[gap:])
-        if gap >= SMALL_SUBTREE or gap & (gap - 1):
-            at = at[big[at]]
-        if gap < SMALL_SUBTREE and gap & (gap - 1):
-            at = np.flatnonzero((group[:-gap] == group[gap:]) & ~big[:-gap])
-        left.append(w[at])
-        right.append(w[at + gap])
-        gap = gap + 1 if gap < SMALL_SUBTREE else gap * 2
-    a, b = np.concatenate(left), np.concatenate(right)
-    a, b = np.minimum(a, b), np.maximum(a, b)
-    a, b = a[a != b], b[a != b]
-    both = np.unique(np.stack([a, b], 1), axis=0)
-    return both[:, 0], both[:, 1]
+        level = mix(np.minimum.reduceat(buffer, first)) >> np.uint64(56)
+        out[j // DEEPEST] |= level << np.uint64(56 - 8 * (j % DEEPEST))
+    return np.ascontiguousarray(out.T), texts
+
 
+def shared_levels(tree: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """How many levels each label but the first shares with the one before it; -1 in another tree."""
+    apart = label[1:] ^ label[:-1]
+    shared = np.zeros(len(apart), np.int8)
+    for d in range(1, DEEPEST + 1):
+        shared += apart >> np.uint64(64 - 8 * d) == 0
+    shared[tree[1:] != tree[:-1]] = -1
+    return shared
 
-def _thin(label: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which labels of a block to send on, and pairs of each other label's text with one sent."""
-    order = np.argsort(label, kind="stable")
-    prefix = (label >> np.uint64(24))[order]
-    first = np.flatnonzero(np.r_[True, prefix[1:] != prefix[:-1]])
+
+def trie_pairs(tree: np.ndarray, label: np.ndarray, w: np.ndarray, depth: int) -> np.ndarray:
+    """Candidate pairs (rows of two keys, the smaller first, no repeats) of texts with these labels.
+
+    The prefix of a label is shortened from DEEPEST levels on while its subtree has at most
+    SMALL_SUBTREE members, to ``depth`` levels at the least, and all members of the subtree it ends
+    at are paired. Neighbours in trie order that share ``depth`` levels are paired in any case.
+    """
+    order = np.lexsort((w, label, tree))
+    tree, label, w = tree[order], label[order], w[order]
+    n = len(w)
+    if n < 2:
+        return np.zeros((0, 2), np.int64)
+    shared = shared_levels(tree, label)
+    at = np.flatnonzero(shared >= depth)
+    found, above = [np.stack([w[at], w[at + 1]], 1)], np.full(n, n + 1)
+    for d in range(depth, DEEPEST + 1):
+        first = np.flatnonzero(np.r_[True, shared < d])
+        size = np.diff(np.r_[first, n])
+        group, held = np.repeat(np.arange(len(first)), size), np.repeat(size, size)
+        # small here but not one level up: the prefix is shortened to this level and no further
+        ends = (held > 2) & (held <= SMALL_SUBTREE) & (above > SMALL_SUBTREE)
+        for gap in range(2, SMALL_SUBTREE):
+            at = np.flatnonzero(ends[:-gap] & (group[:-gap] == group[gap:]))
+            found.append(np.stack([w[at], w[at + gap]], 1))
+        above = held
+    both = np.concatenate(found)
+    both = np.sort(both[both[:, 0] != both[:, 1]], axis=1)
+    return np.unique(both, axis=0)
+
+
+def _thin(tree: np.ndarray, label: np.ndarray, w: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which labels of a block to send on, and the pairs of subtrees that do not send all of theirs."""
+    order = np.lexsort((label, tree))
+    first = np.flatnonzero(np.r_[True, shared_levels(tree[order], label[order]) < depth])
     size = np.diff(np.r_[first, len(order)])
-    rank = np.arange(len(order)) - np.repeat(first, size)
-    kept = rank < BLOCK_MEMBERS
-    away = np.flatnonzero(~kept)
-    head = np.repeat(first, size)[away] + rank[away] % BLOCK_MEMBERS
-    return order[kept], w[order[away]], w[order[head]]
+    rank, held = np.arange(len(order)) - np.repeat(first, size), np.repeat(size, size)
+    step = lambda r: r * BLOCK_MEMBERS // held
+    kept = (held <= BLOCK_MEMBERS) | (rank == 0) | (step(rank) != step(rank - 1))
+    large = order[held > BLOCK_MEMBERS]
+    return order[kept], trie_pairs(tree[large], label[large], w[large], depth)
 
 
 def forest_candidates(
     tokens: DataFrame, threshold: float, k: int, trees: int = 48, recall: float = 0.998
 ) -> DataFrame:
-    """``a, b`` (keys ``w``, a < b): pairs that share a label prefix in some tree."""
+    """``a, b`` (keys ``w``, a < b): pairs that share a subtree in some tree, by ``trie_pairs``.
+
+    The shortest prefix is that of ``depth_for``: a pair at the threshold shares one of that length
+    in some tree with probability ``recall``.
+    """
     depth = depth_for(threshold, trees, recall)
     total = tokens.count()
     parts = max(8, -(-total * trees // PART_LABELS))
@@ -145,24 +151,24 @@ def forest_candidates(
         table = pa.Table.from_batches(held)
         w, at = np.unique(table.column("w").to_numpy(), return_index=True)
         blobs = table.column("tokens").take(pa.array(at)).to_pylist()
-        got, texts = labels(*flat(blobs), trees, depth, k)
+        got, texts = labels(*flat(blobs), trees, k)
         if not len(texts):
             return None
-        label, owner = got.ravel(), np.repeat(texts, trees)
-        sent, pa_, pb_ = _thin(label, w[owner])
-        label, owner = label[sent], owner[sent]
-        part = ((label >> np.uint64(24)) % np.uint64(parts)).astype(np.int64)
+        label, owner, tree = got.ravel(), np.repeat(texts, trees), np.tile(np.arange(trees, dtype=np.uint16), len(texts))
+        sent, met = _thin(tree, label, w[owner], depth)
+        label, owner, tree = label[sent], owner[sent], tree[sent]
+        prefix = mix((label >> np.uint64(64 - 8 * depth)) * np.uint64(trees) + tree)
+        part = (prefix % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
-        label, owner, part = label[order], owner[order], part[order]
+        label, owner, tree, part = label[order], owner[order], tree[order], part[order]
         cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
         rows = []
         for a, b in zip(cuts, np.r_[cuts[1:], len(part)]):
             texts_here, index = np.unique(owner[a:b], return_inverse=True)
-            rows.append((int(part[a]), label[a:b].tobytes(), index.astype(np.uint16).tobytes(), w[texts_here].tobytes(), b"", b""))
-        if len(pa_):
-            both = np.unique(np.stack([np.minimum(pa_, pb_), np.maximum(pa_, pb_)], 1), axis=0)
-            rows.append((int(part[0]), b"", b"", b"", both[:, 0].tobytes(), both[:, 1].tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["part", "label", "text", "w", "a", "b"])
+            rows.append((int(part[a]), tree[a:b].tobytes(), label[a:b].tobytes(), index.astype(np.uint16).tobytes(), w[texts_here].tobytes(), b""))
+        if len(met):
+            rows.append((int(part[0]), b"", b"", b"", b"", met.tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["part", "tree", "label", "text", "w", "met"])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -178,15 +184,13 @@ def forest_candidates(
             yield out
 
     def pair(pdf: pd.DataFrame) -> pd.DataFrame:
-        label = np.frombuffer(b"".join(pdf["label"]), np.uint64)
+        join = lambda c, kind: np.frombuffer(b"".join(pdf[c]), kind)
         w = np.concatenate([np.frombuffer(x, np.int64)[np.frombuffer(i, np.uint16)] for x, i in zip(pdf["w"], pdf["text"])])
-        a, b = subtree_pairs(label, w)
-        a = np.r_[a, np.frombuffer(b"".join(pdf["a"]), np.int64)]
-        b = np.r_[b, np.frombuffer(b"".join(pdf["b"]), np.int64)]
-        return pd.DataFrame({"a": a, "b": b})
+        both = np.concatenate([trie_pairs(join("tree", np.uint16), join("label", np.uint64), w, depth), join("met", np.int64).reshape(-1, 2)])
+        return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
 
-    routed = tokens.select("w", "tokens").mapInArrow(make, "part long, label binary, text binary, w binary, a binary, b binary")
-    return routed.groupBy("part").applyInPandas(pair, "a long, b long").where("a <> b").distinct()
+    routed = tokens.select("w", "tokens").mapInArrow(make, "part long, tree binary, label binary, text binary, w binary, met binary")
+    return routed.repartition(parts, "part").groupBy("part").applyInPandas(pair, "a long, b long").distinct()
 
 
 def similarity(a: list[bytes], b: list[bytes], k: int) -> np.ndarray:
@@ -226,9 +230,9 @@ def near_duplicate_links(tokens: DataFrame, threshold: float = 0.8, k: int = 5,
     """Links ``a, b`` between different texts (keys ``w``), exact copies standing for one text;
     enough of them to join all of a group (see ``joining_links``).
 
-    Texts without a run of ``k`` words have no similarity to others. In a subtree of more than
-    SMALL_SUBTREE texts each is held against its neighbours at doubling distances, so no hot group
-    is compared pairwise; what that and the trees leave out is found by ``missed_pairs``.
+    Texts without a run of ``k`` words have no similarity to others. No subtree of more than
+    SMALL_SUBTREE texts is compared pairwise; what that and the trees leave out is found by
+    ``missed_pairs``, so neither that size nor BLOCK_MEMBERS changes which texts come together.
     """
     return all_links(forest_candidates(tokens, threshold, k, trees, recall), tokens, threshold, k)
 
@@ -263,7 +267,7 @@ def missed_pairs(tokens: DataFrame, groups: DataFrame, threshold: float, k: int)
     fail the bound are left out, which ends boilerplate shared below the threshold.
     """
     table = materialize(_bucket_counts(tokens, k), "counts")
-    folder = table.inputFiles()[0].rsplit("/", 1)[0]
+    folder = table._weftline_folder
     symbols = tokens.agg(F.sum(F.length("tokens") / 4)).first()[0] or 0
     parts = max(8, -(-int(symbols * (1 - threshold)) // PART_POSTINGS))
     share, lead_share = threshold / (1 + threshold), 2 * threshold / (1 + threshold)
@@ -325,7 +329,7 @@ def missed_pairs(tokens: DataFrame, groups: DataFrame, threshold: float, k: int)
         return pd.DataFrame({"a": a, "b": b})
 
     routed = one.mapInArrow(make, "part long, run binary, text binary, left binary, role binary, w binary, grp binary, size binary")
-    return routed.groupBy("part").applyInPandas(meet, "a long, b long").distinct()
+    return routed.repartition(parts, "part").groupBy("part").applyInPandas(meet, "a long, b long").distinct()
 
 
 def distinct_runs(tokens: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -416,16 +420,21 @@ def all_links(candidates: DataFrame, tokens: DataFrame, threshold: float, k: int
     """Links that make up the same groups as all pairs at ``threshold`` do: those of the candidates,
     and of the pairs between the groups these leave, every one that is left out being a link
     within a group or no link."""
-    links = joining_links(candidates, tokens, threshold, k)
-    groups = materialize(connected_components(links), "known")
-    missed = materialize(missed_pairs(tokens, groups, threshold, k), "missed")
-    return links.unionByName(materialize(verified(missed, tokens, threshold, k), "links"))
+    with scratch(tokens.sparkSession) as keep:
+        links = joining_links(candidates, tokens, threshold, k)
+        groups = materialize(connected_components(links), "known")
+        missed = materialize(missed_pairs(tokens, groups, threshold, k), "missed")
+        every = materialize(links.unionByName(verified(missed, tokens, threshold, k)), "links")
+        keep(every)
+    return every
 
 
 def group_members(tokens: DataFrame, links: DataFrame) -> DataFrame:
     """``id, grp`` of every row of ``tokens``: equal for rows joined by links or as copies."""
-    copies = star_edges(tokens, "w", "p")
-    joined = materialize(connected_components(links.select("a", "b").unionByName(copies)), "groups")
+    with scratch(tokens.sparkSession) as keep:
+        copies = star_edges(tokens, "w", "p")
+        joined = materialize(connected_components(links.select("a", "b").unionByName(copies)), "groups")
+        keep(joined)
     members = tokens.select("id", "w").join(joined, F.col("w") == F.col("node"), "left")
     return members.select("id", F.coalesce("component", "w").alias("grp"))
 

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from weftline.llm import fulltext, neardup
 from weftline.llm.records import file_name, function_name, split_name
-from weftline.session import materialize
+from weftline.session import materialize, scratch
 
-#: Shortest run of words that counts as shared text.
-LEAST_WORDS = 12
+#: Shortest run of words that counts as shared text. Where two long texts have 0.6 of all their runs of
+#: three words in common, a stretch of shared words is this long at the least: s stretches shorter than
+#: that have at most 5 s runs in common and break 2 runs on either side of each of s - 1 gaps between them,
+#: and 5 s / (9 s - 4) is below 0.6 from seven stretches (some 50 words) on.
+LEAST_WORDS = 8
 
 
 def split_sides(splits: DataFrame) -> DataFrame:
@@ -20,38 +23,41 @@ def split_sides(splits: DataFrame) -> DataFrame:
     ).withColumn("is_train", F.col("split") == "train")
 
 
-def _source_groups(tokens: DataFrame, sides: DataFrame, threshold: float, k: int) -> tuple[DataFrame, DataFrame]:
-    """Rows of one near-duplicate group on different sides, with their keys, and the matches by keys.
+def _source_groups(tokens: DataFrame, sides: DataFrame, threshold: float, k: int) -> DataFrame:
+    """``train_id, eval_id, a, b, spans, covered, longest``: rows of one near-duplicate group on different
+    sides, the keys of their texts, and what the two texts share in runs of at least LEAST_WORDS words,
+    all 0 if there is none.
 
-    ``tokens`` as from ``tokenized``, with ``hyperedge_id``. Evaluation texts are indexed and
-    training texts streamed; matches are verified and join the links that the groups are made of,
-    since a group may be held together by texts of any split or of none.
+    ``tokens`` as from ``tokenized``, with ``hyperedge_id``. Evaluation texts are indexed and training
+    texts streamed. Matches whose texts are alike enough are the links across the sides; those within a
+    side or to texts of no split, by which a group may be held together, come from the forest.
     """
-    sided = materialize(
-        tokens.select("id", "hyperedge_id", "w", "tokens").join(sides, "hyperedge_id")
-        .select("id", F.col("w").alias("key"), "tokens", "is_train"), "sided",
-    )
-    matches = fulltext.cross_matches(sided, LEAST_WORDS)
-    near = matches.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    found = neardup.forest_candidates(tokens, threshold, k).unionByName(near).distinct()
-    members = neardup.group_members(tokens, neardup.all_links(found, tokens, threshold, k))
-    placed = materialize(members.join(sided.select("id", "key", "is_train"), "id"), "placed")
+    with scratch(tokens.sparkSession) as keep:
+        sided = materialize(
+            tokens.select("id", "hyperedge_id", "w", "tokens").join(sides, "hyperedge_id")
+            .select("id", F.col("w").alias("key"), "tokens", "is_train"), "sided",
+        )
+        matches = fulltext.cross_matches(sided, LEAST_WORDS)
+        near = matches.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        found = neardup.forest_candidates(tokens, threshold, k).unionByName(near).distinct()
+        members = neardup.group_members(tokens, neardup.all_links(found, tokens, threshold, k))
+        placed = materialize(members.join(sided.select("id", "key", "is_train"), "id"), "placed")
+        keep(placed, matches)
     train = placed.where("is_train").select(F.col("id").alias("train_id"), F.col("key").alias("a"), "grp")
     held = placed.where("not is_train").select(F.col("id").alias("eval_id"), F.col("key").alias("b"), "grp")
-    return train.join(held, "grp"), matches
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("spans", "covered", "longest")]
+    return train.join(held, "grp").join(matches, ["a", "b"], "left").select("train_id", "eval_id", "a", "b", *counts)
 
 
-def source_pairs(tokens: DataFrame, sides: DataFrame, threshold: float, k: int) -> DataFrame:
-    """``id_a, id_b, train_id, eval_id``: rows of one near-duplicate group on different sides."""
-    return _ordered(_source_groups(tokens, sides, threshold, k)[0])
+def source_matches(tokens: DataFrame, sides: DataFrame, threshold: float, k: int) -> DataFrame:
+    """``id_a, id_b, train_id, eval_id, spans, covered, longest``: rows of one near-duplicate group on
+    different sides, with the shared stretches of ``_source_groups``."""
+    return _ordered(_source_groups(tokens, sides, threshold, k), "spans", "covered", "longest")
 
 
-def source_matches(tokens: DataFrame, sides: DataFrame, threshold: float, k: int) -> DataFrame:
-    """The pairs of ``source_pairs`` with ``spans, covered, longest`` of what they share in runs of at
-    least LEAST_WORDS words, all 0 if there is none."""
-    pairs, matches = _source_groups(tokens, sides, threshold, k)
-    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("spans", "covered", "longest")]
-    return _ordered(pairs, "a", "b").join(matches, ["a", "b"], "left").select("id_a", "id_b", "train_id", "eval_id", *counts)
+def source_pairs(tokens: DataFrame, sides: DataFrame, threshold: float, k: int) -> DataFrame:
+    """``id_a, id_b, train_id, eval_id``: rows of one near-duplicate group on different sides."""
+    return source_matches(tokens, sides, threshold, k).select("id_a", "id_b", "train_id", "eval_id")
 
 
 def name_pairs(hyperedges: DataFrame, sides: DataFrame) -> DataFrame:
@@ -86,19 +92,12 @@ def _ordered(pairs: DataFrame, *keep: str) -> DataFrame:
     ).distinct()
 
 
-def overlap_report(pairs: DataFrame, sides: DataFrame) -> DataFrame:
-    """``kind, split, source, n_pairs, n_records``: overlaps of each evaluation split and each of
-    its sources, from ``kind, train_id, eval_id, split, source`` of the evaluation side."""
-    return pairs.groupBy("kind", "split", "source").agg(
-        F.count(F.lit(1)).alias("n_pairs"), F.count_distinct("eval_id").alias("n_records")
-    )
-
-
-def source_report(pairs: DataFrame) -> DataFrame:
-    """``kind, train_source, split, source, n_pairs, n_records, spans, covered, longest``: overlaps by
-    the sources of both sides with the spans and words that the pairs share and the longest match
-    (null for names), from ``kind, train_id, eval_id, spans, covered, longest, train_source, split, source``."""
-    return pairs.groupBy("kind", "train_source", "split", "source").agg(
+def overlap_report(pairs: DataFrame, *by: str) -> DataFrame:
+    """``kind, <by>, n_pairs, n_records, n_matched, spans, covered, longest``: overlaps with the spans and
+    words that the pairs share, the longest match, and the pairs with any match at all. For names these are
+    null. ``pairs`` has ``kind, eval_id, spans, covered, longest`` and the columns ``by``."""
+    return pairs.groupBy("kind", *by).agg(
         F.count(F.lit(1)).alias("n_pairs"), F.count_distinct("eval_id").alias("n_records"),
+        F.sum((F.col("spans") > 0).cast("long")).alias("n_matched"),
         F.sum("spans").alias("spans"), F.sum("covered").alias("covered"), F.max("longest").alias("longest"),
     )

@@ -77,13 +77,13 @@ def p4_hash_clashes(spark: SparkSession, sf: str) -> DataFrame:
     return canonical.hash_clashes(canonical.copy_signatures(_sources(spark, sf), "example_id", "function_source"))
 
 
-def _overlaps(spark: SparkSession, sf: str, of_texts: Callable[..., DataFrame] = overlap.source_pairs) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Overlapping pairs of texts (ids of examples), of names (ids of hyperedges), and the sides."""
+def _overlaps(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Overlapping pairs of texts (ids of examples) with their matches, of names (ids of hyperedges), and the sides."""
     sides = overlap.split_sides(_read(spark, sf, "split_items"))
     sources = _read(spark, sf, "forge_hyperedge_examples", "example_id", "hyperedge_id", "function_source")
     tokens = tokenized(sources, "example_id", "function_source", "hyperedge_id")
     names = _read(spark, sf, "forge_constructable_hyperedges", "hyperedge_id", "file", "function")
-    return of_texts(tokens, sides, ALIKE, RUN), overlap.name_pairs(names, sides), sides
+    return overlap.source_matches(tokens, sides, ALIKE, RUN), overlap.name_pairs(names, sides), sides
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -93,33 +93,32 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def p5_report(spark: SparkSession, sf: str) -> DataFrame:
-    """Overlaps by kind, evaluation split and split_items.source."""
+def _placed_overlaps(spark: SparkSession, sf: str) -> DataFrame:
+    """All overlapping pairs with the source of the training side and split and source of the other."""
     texts, names, sides = _overlaps(spark, sf)
     examples = _read(spark, sf, "forge_hyperedge_examples", "example_id", "hyperedge_id")
-    of_text = texts.join(examples, texts["eval_id"] == examples["example_id"]).select(
-        F.lit("source").alias("kind"), "train_id", "eval_id", "hyperedge_id"
+    of = lambda c: examples.select(F.col("example_id").alias(f"{c}_id"), F.col("hyperedge_id").alias(f"{c}_edge"))
+    both = texts.join(of("train"), "train_id").join(of("eval"), "eval_id").withColumn("kind", F.lit("source")).unionByName(
+        names.withColumns({"kind": F.lit("name"), "train_edge": F.col("train_id"), "eval_edge": F.col("eval_id")}), allowMissingColumns=True
     )
-    of_name = names.select(F.lit("name").alias("kind"), "train_id", "eval_id", F.col("eval_id").alias("hyperedge_id"))
-    return overlap.overlap_report(of_text.unionByName(of_name).join(sides, "hyperedge_id"), sides)
+    train = sides.select(F.col("hyperedge_id").alias("train_edge"), F.col("source").alias("train_source"))
+    held = sides.select(F.col("hyperedge_id").alias("eval_edge"), "split", "source")
+    return both.join(train, "train_edge").join(held, "eval_edge")
 
 
-def p5_matches(spark: SparkSession, sf: str) -> DataFrame:
-    """Every pair of kind "source" with the spans, words and longest match that the two share."""
-    return _overlaps(spark, sf, overlap.source_matches)[0]
+def p5_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Overlaps with their matches by kind, evaluation split and split_items.source."""
+    return overlap.overlap_report(_placed_overlaps(spark, sf), "split", "source")
 
 
 def p5_sources(spark: SparkSession, sf: str) -> DataFrame:
     """Overlaps with their matches by kind, the source of the training side and split and source of the other."""
-    texts, names, sides = _overlaps(spark, sf, overlap.source_matches)
-    examples = _read(spark, sf, "forge_hyperedge_examples", "example_id", "hyperedge_id")
-    of = lambda c: examples.select(F.col("example_id").alias(f"{c}_id"), F.col("hyperedge_id").alias(f"{c}_edge"))
-    both = texts.join(of("train"), "train_id").join(of("eval"), "eval_id").withColumn("kind", F.lit("source")).unionByName(
-        names.withColumns({"kind": F.lit("name"), "train_edge": F.col("train_id"), "eval_edge": F.col("eval_id")}), allowMissingColumns=True
-    )
-    train = sides.select(F.col("hyperedge_id").alias("train_edge"), F.col("source").alias("train_source"))
-    held = sides.select(F.col("hyperedge_id").alias("eval_edge"), "split", "source")
-    return overlap.source_report(both.join(train, "train_edge").join(held, "eval_edge"))
+    return overlap.overlap_report(_placed_overlaps(spark, sf), "train_source", "split", "source")
+
+
+def p5_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """Every pair of kind "source" with the spans, words and longest match that the two share."""
+    return _overlaps(spark, sf)[0]
 
 
 def _sampled(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
