@@ -1,10 +1,11 @@
 """Byte-level BPE with vectorised pre-tokenisation (problem 7).
 
-A block of texts is one array of code points. Every code point class acts on the running state as
-a transition function that either sets it (a run starts) or keeps it; such functions compose by
-"the last one that sets wins", which ``np.maximum.accumulate`` scans in one pass. Boundaries come
-out of that scan and of shifted comparisons, without any regular expression, and cut the block
-into slices; each distinct slice is merged once and cached.
+A block of texts is one array of code points. Each code point class acts on the state of the reader as
+a transition function. All functions that arise by composing those of the classes are few; they are
+numbered, with a table of products, and since composing is associative the states at all places come
+out of a blocked prefix scan over products, without any regular expression. States and classes tell
+where slices begin; each distinct slice is merged once and cached. Offsets of tokens are kept where
+they are asked for, and serve to decode any range of a text.
 """
 
 from __future__ import annotations
@@ -54,42 +55,89 @@ def classes() -> np.ndarray:
     return table
 
 
+# States of the reader after a code point: white space that is or is not a plain blank, a run of
+# letters, of numbers, of other signs, and an apostrophe that takes two or one more letters, or none.
+AFTER_BREAK, AFTER_SPACE, LETTERS, NUMBERS, OTHERS, TWO, ONE, DONE = range(8)
+# Further symbols: an apostrophe with a known ending of one or two letters after it.
+QUOTE_ONE, QUOTE_TWO = 5, 6
+#: Places of a block that are scanned one after another; all blocks are scanned in step.
+SCAN_PLACES = 256
+
+
+def _act(symbol: int, state: int) -> int:
+    if symbol in (SPACE, BREAK):
+        return AFTER_SPACE if symbol == SPACE else AFTER_BREAK
+    if symbol == LETTER:
+        return {TWO: ONE, ONE: DONE}.get(state, LETTERS)
+    if symbol in (NUMBER, OTHER) or state in (AFTER_SPACE, OTHERS):
+        return NUMBERS if symbol == NUMBER else OTHERS
+    return ONE if symbol == QUOTE_ONE else TWO
+
+
+@lru_cache(1)
+def transitions() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``start, product, act``: the number of each symbol's function (rows: within a text, at its begin,
+    where any state before is forgotten), the number of the composition of two (first, then second),
+    and the state to which a function leads from each state."""
+    plain = [tuple(_act(x, s) for s in range(8)) for x in range(7)]
+    known = {f: i for i, f in enumerate(dict.fromkeys([*plain, *((f[AFTER_BREAK],) * 8 for f in plain)]))}
+    fresh = list(known)
+    while fresh:
+        met = {tuple(g[x] for x in f) for f in known for g in fresh} | {tuple(g[x] for x in f) for f in fresh for g in known}
+        fresh = [f for f in sorted(met) if f not in known]
+        known |= {f: len(known) + i for i, f in enumerate(fresh)}
+    product = np.array([[known[tuple(g[x] for x in f)] for g in known] for f in known], np.uint8)
+    start = np.array([[known[f] for f in plain], [known[(f[AFTER_BREAK],) * 8] for f in plain]], np.uint8)
+    return start, product, np.array(list(known), np.uint8)
+
+
+def prefix_products(x: np.ndarray, product: np.ndarray) -> np.ndarray:
+    """The product of all elements up to each place, by scanning blocks in step and then their totals."""
+    n = len(x)
+    if n <= SCAN_PLACES:
+        out = x.copy()
+        for i in range(1, n):
+            out[i] = product[out[i - 1], x[i]]
+        return out
+    blocks = n // SCAN_PLACES
+    rows = np.ascontiguousarray(x[: blocks * SCAN_PLACES].reshape(blocks, SCAN_PLACES).T)
+    for i in range(1, SCAN_PLACES):
+        rows[i] = product[rows[i - 1], rows[i]]
+    total = prefix_products(rows[-1], product)
+    rows[:, 1:] = product[total[:-1], rows[:, 1:]]
+    out = np.concatenate([rows.T.ravel(), x[blocks * SCAN_PLACES :]])
+    for i in range(blocks * SCAN_PLACES, n):
+        out[i] = product[out[i - 1], out[i]]
+    return out
+
+
 def boundaries(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Where slices begin. ``starts``: where texts begin (ascending, the first 0; none empty)."""
     n = len(codes)
     kind = classes()[codes]
-    white = kind <= BREAK
-    first = np.zeros(n, bool)
-    first[starts] = True
-    group = np.where(white, SPACE, kind)
-    before = np.r_[np.uint8(255), group[:-1]]
-    begin = first | (group != before)  # a run begins: the transition that sets the state
-    after_white = ~white & ~first & np.r_[False, white[:-1]]
-    blank_before = after_white & np.r_[False, kind[:-1] == SPACE]
-    # the last white space before other text is split off; a plain blank joins that text
-    cut = begin & ~blank_before
-    at = np.flatnonzero(after_white)
-    cut[at - 1] = True
-    # an apostrophe that opens a slice takes a known ending with it, and the rest begins anew
-    quote = np.flatnonzero((codes == 0x27) & begin & ~blank_before)
+    first = np.zeros(n + 1, bool)
+    first[starts] = first[n] = True
+    symbol = kind.copy()
+    quote = np.flatnonzero(codes == 0x27)
     if len(quote):
-        text_end = np.r_[starts[1:], n]
-        limit = text_end[np.searchsorted(starts, quote, side="right") - 1]
+        limit = np.r_[starts[1:], n][np.searchsorted(starts, quote, side="right") - 1]
         padded = np.r_[codes, np.zeros(2, codes.dtype)]
         for ending in ENDINGS:
-            k = len(ending)
-            hit = quote + k < limit
+            hit = quote + len(ending) < limit
             for j, ch in enumerate(ending):
-                hit &= padded[np.minimum(quote + 1 + j, n)] == ord(ch)
-            at = quote[hit]
-            cut[at + 1] = False
-            after = at + 1 + k
-            inside = after < limit[hit]
-            # what follows begins anew, unless it is white space whose own cuts stand
-            nxt = after[inside]
-            same_run = kind[nxt] == LETTER
-            cut[nxt[same_run]] = True
-    return np.flatnonzero(cut)
+                hit &= padded[quote + 1 + j] == ord(ch)
+            symbol[quote[hit]] = QUOTE_ONE if len(ending) == 1 else QUOTE_TWO
+    start, product, act = transitions()
+    state = act[prefix_products(start[first[:n].view(np.uint8), symbol], product), AFTER_BREAK]
+    before = np.r_[np.uint8(AFTER_BREAK), state[:-1]]
+    before[first[:n]] = AFTER_BREAK
+    white = kind <= BREAK
+    # a plain blank joins what follows it; a letter after an ending that is done begins anew
+    joins = (before == AFTER_SPACE) | (before == state) & (state != DONE) | (before >= TWO) & (before <= ONE)
+    cut = ~white & ~joins | white & (before > AFTER_SPACE)
+    # the last white space before other text is split off
+    cut[:-1] |= white[:-1] & ~white[1:] & ~first[1:n]
+    return np.flatnonzero(cut | first[:n])
 
 
 @lru_cache(2)
@@ -184,8 +232,8 @@ def encode_corpus(
     """``<id_col>, ids ARRAY<INT>`` of every row; an empty list for an empty and for a null text.
 
     Special tokens are not used: their strings are ordinary text. With ``offsets`` a further
-    column ``offsets ARRAY<INT>`` tells at which UTF-8 byte each token begins, so that any range
-    of ids can be traced to the text. Repeated rows come out as often as they are. No shuffle.
+    column ``offsets ARRAY<INT>`` tells at which UTF-8 byte each token begins, by which ``decode``
+    finds the tokens of any range. Repeated rows come out as often as they are. No shuffle.
     """
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, ids array<int>" + (", offsets array<int>" if offsets else "")
@@ -223,6 +271,48 @@ def count_tokens(df: DataFrame, id_col: str, text_col: str, folder: str = TOKENI
     return df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long")
 
 
-def decode(ids: list[int], folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> bytes:
-    back = {i: b for b, i in ranks(folder, vocabulary).items()}
-    return b"".join(back[i] for i in ids)
+@lru_cache(2)
+def token_bytes(folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> dict[int, bytes]:
+    return {i: b for b, i in ranks(folder, vocabulary).items()}
+
+
+def decode(
+    ids: list[int], offsets: list[int] | None = None, start: int = 0, stop: int | None = None,
+    folder: str = TOKENIZERS, vocabulary: str = VOCABULARY,
+) -> bytes:
+    """The bytes from ``start`` to ``stop`` of the text with these ids; with ``offsets`` only the tokens
+    that meet the range are looked at."""
+    back, begin = token_bytes(folder, vocabulary), 0
+    if offsets is not None and len(ids):
+        a = max(0, int(np.searchsorted(offsets, start, side="right")) - 1)
+        b = len(ids) if stop is None else int(np.searchsorted(offsets, stop))
+        ids, begin = ids[a:b], int(offsets[a])
+    whole = b"".join(back[i] for i in ids)
+    return whole[max(0, start - begin) : None if stop is None else max(0, stop - begin)]
+
+
+def decode_corpus(
+    df: DataFrame, id_col: str, ids: str = "ids", offsets: str = "offsets", text: str = "text",
+    folder: str = TOKENIZERS, vocabulary: str = VOCABULARY,
+) -> DataFrame:
+    """``<id_col>, <text>``: the texts of encoded rows. Every token is laid at its offset, so a row whose
+    offsets do not fit its ids is an error and not another text. Null ids give a null text, no ids ''."""
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        back = token_bytes(folder, vocabulary)
+        size = np.zeros(max(back) + 1, np.int64)
+        size[list(back)] = [len(b) for b in back.values()]
+        for batch in batches:
+            out = []
+            for own, at in zip(batch.column(1), batch.column(2)):
+                if not own.is_valid:
+                    out.append(None)
+                    continue
+                own, at = own.values.to_numpy(zero_copy_only=False), at.values.to_numpy(zero_copy_only=False)
+                if len(own) and not np.array_equal(at, np.cumsum(size[own]) - size[own]):
+                    raise ValueError("offsets and ids of a row do not fit")
+                out.append(b"".join(map(back.__getitem__, own.tolist())).decode("utf-8"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=[id_col, text])
+
+    return df.select(id_col, ids, offsets).mapInArrow(run, f"`{id_col}` {kind}, `{text}` string")

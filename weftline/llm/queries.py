@@ -149,6 +149,12 @@ def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode_corpus(_read(spark, sf, "documents", "doc_id", "text"), "doc_id", "text")
 
 
+def p7_decoded(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's text back from its ids and their offsets, '' for a null text."""
+    encoded = bpe.encode_corpus(_read(spark, sf, "documents", "doc_id", "text"), "doc_id", "text", offsets=True)
+    return bpe.decode_corpus(encoded, "doc_id")
+
+
 def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
     sizes = bpe.count_tokens(_read(spark, sf, "documents", "doc_id", "text"), "doc_id", "text")
     return packing.fill_containers(sizes, "doc_id", "n_tokens")
@@ -191,7 +197,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             p1_found, p1_pieces, p2_found, p2_groups, p3_found, p3_splits, p4_found, p4_records, p4_hash_clashes,
-            p5_found, p5_report, p5_matches, p5_sources, p6_found, p6_report, p6_sample, p7_ids, p8_found, p8_containers, p8_fill,
+            p5_found, p5_report, p5_matches, p5_sources, p6_found, p6_report, p6_sample, p7_ids, p7_decoded, p8_found, p8_containers, p8_fill,
             p9_found, p9_scores, p9_rates,
         )
     }

@@ -43,6 +43,7 @@ SQL = {
     "p1_found": "SELECT example_id FROM forge_hyperedge_examples WHERE length(function_source) > 1200",
     "p4_found": _COPIES + "SELECT kept_id, example_id FROM k JOIN g USING (canon) WHERE example_id <> kept_id",
     "p4_records": _COPIES + "SELECT kept_id AS example_id, n_copies FROM g",
+    "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p3_found": f"""
 WITH RECURSIVE r AS (
   SELECT DISTINCT {_BUNDLE} AS b, {_NAMED.format(c="file", x=_FILE.format(c="file"))} AS f FROM forge_constructable_hyperedges
