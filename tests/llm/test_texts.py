@@ -49,6 +49,14 @@ def test_encode_corpus_defined_cases(spark, reference):
     assert bpe.encode_corpus(df.limit(0), "doc_id", "text").count() == 0
     counts = {(r["doc_id"], r["n_tokens"]) for r in bpe.count_tokens(df, "doc_id", "text").collect()}
     assert counts == {(1, 0), (2, 0), (3, len(want)), (4, 1)}
+    back = bpe.decode_corpus(bpe.encode_corpus(df, "doc_id", "text", offsets=True), "doc_id").collect()
+    assert sorted(map(tuple, back)) == [(1, ""), (2, ""), (3, "It's  ok\n"), (3, "It's  ok\n"), (4, " ")]
+    begin = [len(bpe.decode(want[:i])) for i in range(len(want))]
+    assert all(bpe.decode(want, begin, a, b) == b"It's  ok\n"[a:b] for a in range(9) for b in range(a, 10))
+    assert bpe.decode(want, begin, 3) == b"s  ok\n" and bpe.decode([], []) == b""
+    wrong = spark.createDataFrame([(1, want, [0] * len(want))], "doc_id bigint, ids array<int>, offsets array<int>")
+    with pytest.raises(Exception, match="do not fit"):
+        bpe.decode_corpus(wrong, "doc_id").collect()
 
 
 def test_p7_on_all_documents(spark, sf, reference):
@@ -85,18 +93,30 @@ def test_all_limits_of_a_container_hold():
     assert np.bincount(box, tokens).max() <= 300
 
 
-def test_the_limit_on_loss_closes_containers(spark):
-    rows = [(i, 100, 10) for i in range(60)] + [(100 + i, 500, 0) for i in range(4)] + [(200, 3000, 70), (201, 40, 90), (202, 30, None)]
+def test_each_limit_alone_closes_containers(spark):
+    rows = [(i, 100, 10) for i in range(60)] + [(100 + i, 500, 0) for i in range(4)] + [(200, 3000, 70), (201, 40, 90), (202, 30, None), (203, 600, 99), (203, 600, 99)]
     df = spark.createDataFrame(rows, "id bigint, n int, loss int")
-    got = packing.fill_containers(df, "id", "n", max_loss=50, loss_col="loss").collect()
-    size, loss, tokens = {r[0]: r[1] for r in rows}, {r[0]: r[2] for r in rows}, Counter()
-    held = Counter()
-    for r in got:
-        end, first = r["start_token"] + r["n_tokens"], size[r["id"]] - min(loss[r["id"]] or 0, size[r["id"]])
-        held[r["container_id"]] += r["n_tokens"] - 1 if loss[r["id"]] is None else max(0, end - max(r["start_token"], first))
-        tokens[r["id"]] += r["n_tokens"]
-    assert max(held.values()) <= 50 and tokens == size and len(held) >= (600 + 70 + 40 + 29) / 50
-    assert len({r["container_id"] for r in packing.fill_containers(df, "id", "n").collect()}) < len(held)
+    for tokens, segments, loss in ((2048, 256, 50), (2048, 3, 2048), (2048, 256, 2048)):
+        packed = packing.fill_containers(df, "id", "n", tokens, segments, loss, "loss")
+        got = packed.collect()
+        assert tuple(packing.limits_report(packed, tokens, segments, loss).first()) == (len(rows), 0, 0, 0, 0, 0)
+        assert sum(r["n_tokens"] for r in got) == sum(n for _, n, _ in rows) and all(r["n_pieces"] == 1 for r in got if r["id"] != 200)
+        used = len({r["container_id"] for r in got})
+        # the limit that binds tells how many containers are needed at the least
+        assert used >= {50: 4 + (60 * 10 + 40 + 29) / 50, 2048: 69 / segments}[loss] and used <= {3: 26, 256: 19}[segments]
+        shuffled = packing.fill_containers(df.repartition(5, "n"), "id", "n", tokens, segments, loss, "loss").collect()
+        assert Counter(map(tuple, shuffled)) == Counter(map(tuple, got))
+
+
+def test_tokens_within_quoted_code_bear_no_loss(spark, reference):
+    texts = ["plain text", "See ```a b c``` now", "```é ö```", "open ```rest of it", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = {r["id"]: (r["n_tokens"], r["n_loss"]) for r in bpe.count_tokens(df, "id", "t", queries.QUOTED).collect()}
+    assert got[0] == (2, 1) and got[2][1] == 0 and got[4] == got[5] == (0, 0)
+    ids = reference.encode_ordinary(texts[1])
+    begin = np.cumsum([0] + [len(reference.decode_single_token_bytes(i)) for i in ids])[:-1]
+    assert got[1] == (len(ids), int(((begin[1:] < 4) | (begin[1:] >= 15)).sum()))
+    assert got[3][1] < got[3][0] - 2
 
 
 @pytest.mark.parametrize("limit, overlap", [(1200, 120), (40, 5), (30, 0)])

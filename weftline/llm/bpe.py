@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -255,20 +256,39 @@ def encode_corpus(
     return df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
-def count_tokens(df: DataFrame, id_col: str, text_col: str, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``<id_col>, n_tokens`` of every row; 0 for an empty and for a null text."""
+def count_tokens(
+    df: DataFrame, id_col: str, text_col: str, masked: str | None = None,
+    folder: str = TOKENIZERS, vocabulary: str = VOCABULARY,
+) -> DataFrame:
+    """``<id_col>, n_tokens, n_loss`` of every row; 0 for an empty and for a null text.
+
+    ``n_loss`` counts the tokens that bear a loss: all but the first, which nothing predicts, and but
+    those that begin within a match of the expression ``masked`` (on UTF-8 bytes), by their offsets.
+    """
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(folder, vocabulary)
+        hidden = re.compile(masked.encode(), re.S) if masked else None
+        length = np.zeros(max(encoder.rank.values()) + 1, np.int64)
+        for b, i in encoder.rank.items():
+            length[i] = len(b)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            n = np.zeros(len(texts), np.int64)
+            n, loss = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
             for i, got in encode_blocks(texts, encoder):
                 n[i] = len(got)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n)], names=[id_col, "n_tokens"])
-
-    return df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long")
+                loss[i] = len(got) - 1
+                spans = [m.span() for m in hidden.finditer(texts[i].encode("utf-8", "surrogatepass"))] if hidden else []
+                if spans:
+                    size = length[got]
+                    begin, edges = np.cumsum(size) - size, np.array(spans)
+                    at = np.searchsorted(edges[:, 0], begin, side="right") - 1
+                    within = (at >= 0) & (begin < edges[np.maximum(at, 0), 1])
+                    loss[i] = int((~within[1:]).sum())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(loss)], names=[id_col, "n_tokens", "n_loss"])
+
+    return df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, n_loss long")
 
 
 @lru_cache(2)

@@ -3,7 +3,8 @@
 Each container has limits on tokens, segments and loss-bearing tokens at once. Items are hashed
 into blocks of a bounded number and every block is packed on its own by the dot-product rule: of
 the items that fit, the one whose demand points most in the direction of what is left. Only counts
-are shuffled, never texts; each block wastes space in its last container at most.
+are shuffled, never texts; each block wastes space in its last container at most. What is packed with
+what follows from the rows alone, not from how they are partitioned.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from weftline.session import materialize
 
@@ -63,58 +65,77 @@ def pack_block(
 
 def fill_containers(
     sizes: DataFrame, id_col: str, size_col: str, capacity: int = 2048,
-    max_segments: int = 256, max_loss: int | None = None,
-    loss_col: str | None = None,
+    max_segments: int = 256, max_loss: int | None = None, loss_col: str | None = None,
 ) -> DataFrame:
-    """``<id_col>, piece_no, n_pieces, start_token, n_tokens, container_id`` of every row.
+    """``<id_col>, piece_no, n_pieces, start_token, n_tokens, n_loss, container_id`` of every row.
 
     A row is one segment, whole, unless its size exceeds the capacity: then it comes out in
     pieces of ``capacity``, each filling a container alone, and a last piece packed like any
-    other row. ``loss_col`` has the loss-bearing tokens of a row, which are taken to be its last ones,
-    as an answer after a masked prompt; without it, or where it is null, all but the first of a
-    segment, which nothing predicts. No container has more than ``max_loss`` (the capacity, if not
-    given) of them: a row whose pieces would is cut to pieces of that many tokens instead.
+    other row. ``loss_col`` has the loss-bearing tokens of a row, at most its size; without it, or
+    where it is null, they are all but the first of a segment, which nothing predicts. Any piece may
+    hold all of its row's. Rows with more of them than ``max_loss`` (the capacity, if not given) are
+    never cut for it, but get a container alone; no container of several rows has more.
     A row of size 0 or null takes no room: one piece of 0 tokens, container null. Ids need not be
-    unique: every row is packed. Container ids are unique, not consecutive.
+    unique: every row is packed. Containers are numbered from 0 without gaps.
     """
     max_loss = max_loss or capacity
     n = F.coalesce(F.col(size_col), F.lit(0)).cast("long")
-    given = F.when(F.col(loss_col).isNotNull(), F.least(F.greatest(F.col(loss_col).cast("long"), F.lit(0)), n)) if loss_col else F.lit(None).cast("long")
-    most = F.least(F.coalesce(F.col("__given"), F.col("__n") - 1), F.lit(capacity) - F.when(F.col("__given").isNull(), 1).otherwise(0))
-    end = F.col("start_token") + F.col("n_tokens")
-    own = F.greatest(F.lit(0), end - F.greatest(F.col("start_token"), F.col("__n") - F.col("__given")))
+    all_but_one = F.greatest(n - 1, F.lit(0))
+    bounded = F.least(F.greatest(F.col(loss_col or size_col).cast("long"), F.lit(0)), n)
+    given = F.when(F.col(loss_col).isNotNull(), bounded).otherwise(all_but_one) if loss_col else all_but_one
+    # equal rows are counted and numbered, so that the order in which they come does not matter
+    counted = sizes.select(F.col(id_col), n.alias("__n"), given.alias("__loss")).groupBy(id_col, "__n", "__loss").agg(F.count(F.lit(1)).alias("__copies"))
     pieces = (
-        sizes.select(F.col(id_col), n.alias("__n"), given.alias("__given"))
-        .withColumn("__step", F.when(most <= max_loss, capacity).otherwise(min(capacity, max_loss)).cast("long"))
-        .withColumn("n_pieces", F.greatest(F.lit(1), F.ceil(F.col("__n") / F.col("__step"))).cast("int"))
+        counted.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
+        .withColumn("n_pieces", F.greatest(F.lit(1), F.ceil(F.col("__n") / capacity)).cast("int"))
         .withColumn("piece_no", F.explode(F.sequence(F.lit(0), F.col("n_pieces") - 1)))
-        .withColumn("start_token", F.col("piece_no").cast("long") * F.col("__step"))
-        .withColumn("n_tokens", F.least(F.col("__step"), F.col("__n") - F.col("start_token")))
-        .withColumn("__loss", F.when(F.col("__given").isNull(), F.greatest(F.lit(0), F.col("n_tokens") - 1)).otherwise(own))
-        .withColumn("__key", F.concat(F.monotonically_increasing_id().cast("string"), F.lit(":"), F.col("piece_no").cast("string")))
-        .drop("__n", "__given", "__step")
+        .withColumn("start_token", F.col("piece_no").cast("long") * capacity)
+        .withColumn("n_tokens", F.least(F.lit(capacity).cast("long"), F.col("__n") - F.col("start_token")))
+        .withColumn("n_loss", F.least("__loss", "n_tokens"))
+        .withColumn("__h", F.xxhash64(id_col, "__copy", "piece_no", "__n"))
     )
-    pieces = materialize(pieces, "pieces")
-    loose = pieces.where(f"n_tokens > 0 and n_tokens < {capacity}")
-    total = loose.count()
-    blocks = max(1, -(-total // BLOCK_ITEMS))
-    block = F.pmod(F.xxhash64("__key"), F.lit(blocks)).alias("block")
+    columns = [id_col, "piece_no", "n_pieces", "start_token", "n_tokens", "n_loss"]
+    pieces = materialize(pieces.select(*columns, "__h"), "pieces")
+    shared = (F.col("n_tokens") > 0) & (F.col("n_tokens") < capacity) & (F.col("n_loss") <= max_loss)
+    alone = (F.col("n_tokens") > 0) & ~shared
+    total = pieces.agg(F.count_if(shared).alias("s"), F.count_if(alone).alias("a")).first()
+    blocks, own_blocks = (max(1, -(-total[c] // BLOCK_ITEMS)) for c in "sa")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.select(*columns).schema)
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        size = pdf["n_tokens"].to_numpy(np.int64)
-        box = pack_block(size, pdf["__loss"].to_numpy(np.int64), capacity, max_segments, max_loss)
-        return pdf.drop(columns="__loss").assign(container_id=box * blocks + pdf["block"].to_numpy())
+        pdf = pdf.sort_values(["__h", "n_tokens", "n_loss"], ignore_index=True)
+        box = pack_block(pdf["n_tokens"].to_numpy(np.int64), pdf["n_loss"].to_numpy(np.int64), capacity, max_segments, max_loss)
+        return pdf.drop(columns="__h").assign(__box=box)
 
-    columns = [id_col, "piece_no", "n_pieces", "start_token", "n_tokens"]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in loose.select(*columns).schema)
     packed = (
-        loose.select(*columns, "__loss", block).groupBy("block")
-        .applyInPandas(pack, f"{fields}, block long, container_id long").drop("block")
+        pieces.where(shared).withColumn("__block", F.pmod("__h", F.lit(blocks))).groupBy("__block")
+        .applyInPandas(pack, f"{fields}, __block long, __box long")
     )
-    # full pieces have a container each, numbered below zero
-    alone = F.when(F.col("n_tokens") == capacity, -1 - F.xxhash64("__key").bitwiseAND(F.lit((1 << 62) - 1)))
-    rest = pieces.where(f"n_tokens = 0 or n_tokens = {capacity}").select(*columns, alone.alias("container_id"))
-    return packed.select(*columns, "container_id").unionByName(rest)
+    rank = F.row_number().over(Window.partitionBy("__block").orderBy("__h")).cast("long") - 1
+    lone = pieces.where(alone).withColumn("__block", F.pmod("__h", F.lit(own_blocks)) + blocks).withColumn("__box", rank).drop("__h")
+    boxed = materialize(packed.select(*columns, "__block", "__box").unionByName(lone), "boxed")
+    # one row a block of BLOCK_ITEMS items
+    used = boxed.groupBy("__block").agg((F.max("__box") + 1).alias("__used"))
+    before = F.sum("__used").over(Window.orderBy("__block")) - F.col("__used")
+    numbered = boxed.join(used.select("__block", before.alias("__before")), "__block")
+    nothing = pieces.where("n_tokens = 0").select(*columns, F.lit(None).cast("long").alias("container_id"))
+    return numbered.select(*columns, (F.col("__before") + F.col("__box")).alias("container_id")).unionByName(nothing)
+
+
+def limits_report(packed: DataFrame, capacity: int, max_segments: int, max_loss: int) -> DataFrame:
+    """One row: ``n_rows`` (pieces of one row counted once), containers over each limit (``over_tokens,
+    over_segments, over_loss``, the last among those of several segments), pieces with tokens and no
+    container (``unplaced``), and container numbers left out (``gaps``)."""
+    used = packed.where("container_id is not null").groupBy("container_id").agg(
+        F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("s"), F.sum("n_loss").alias("l")
+    )
+    limits = used.agg(
+        F.count_if(F.col("t") > capacity).alias("over_tokens"), F.count_if(F.col("s") > max_segments).alias("over_segments"),
+        F.count_if((F.col("l") > max_loss) & (F.col("s") > 1)).alias("over_loss"),
+        (F.coalesce(F.max("container_id") + 1, F.lit(0)) - F.count(F.lit(1))).alias("gaps"),
+    )
+    rows = packed.agg(F.count_if(F.col("piece_no") == 0).alias("n_rows"), F.count_if((F.col("n_tokens") > 0) & F.col("container_id").isNull()).alias("unplaced"))
+    return rows.crossJoin(limits)
 
 
 def fill_report(packed: DataFrame, capacity: int = 2048) -> DataFrame:

