@@ -1,22 +1,29 @@
 """Duplicates hidden by formatting differences (problem 4).
 
-Everything up to the 128-bit hash is one projection in the JVM; the text itself is never
-shuffled. Counts are combined on the map side, so a text that makes up a third of all rows sends
-one row per task.
+Everything up to the 128-bit hash is one projection; the text itself is never shuffled. It stays in
+the JVM but for texts with literals that stand in others or hold brackets with commas, which are read
+by a stack in Arrow batches. Counts are combined on the map side, so a text that makes up a third of
+all rows sends one row per task.
 """
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.session import materialize
 
 NOT_ALNUM = r"[^\p{L}\p{N}]+"
-#: A literal with named fields, without braces inside; the fields may stand in any order.
-LITERAL = r"\(\s*\{[^{}]*\}\s*\)"
-#: A comma that no bracket opened in the same field encloses.
-FIELD_COMMA = r",(?![^\(\[]*[\)\]])"
+#: A literal with named fields all of whose commas part fields: brackets in it hold neither commas nor brackets.
+LITERAL = r"\(\s*\{(?:[^(){}\[\]]|\([^(){}\[\],]*\)|\[[^(){}\[\],]*\])*\}\s*\)"
+#: The begin of a literal.
+OPENING = r"\(\s*\{"
+
+_SIGNS = re.compile(r"(\(\s*\{)|(\}\s*\))|([()\[\]{},])")
+_PAIRS = {"(": ")", "[": "]", "{": "}"}
 
 
 def letters_and_digits(text: Column) -> Column:
@@ -28,21 +35,73 @@ def words_text(text: Column) -> Column:
     return F.trim(F.lower(F.regexp_replace(text, NOT_ALNUM, " ")))
 
 
+def sorted_fields(text: str) -> str:
+    """``text`` with the fields of each literal ``({ ... })`` in order, by their letters and digits.
+
+    A comma parts fields only where no bracket within the literal is open; literals may stand in
+    literals. A literal that is never closed is none. What else stands in the text is kept but for
+    brackets and commas within literals.
+    """
+    # a frame is an open bracket: its kind, the fields done, and the parts of the field at hand
+    stack: list[tuple[str, list[str], list[str]]] = [("", [], [])]
+    last = 0
+
+    def close(kind: str) -> None:
+        if stack[-1][0] == kind:
+            _, fields, parts = stack.pop()
+            if kind == "L":
+                own = ["".join(c for c in "".join(x) if c.isalnum()).lower() for x in (*fields, parts)]
+                stack[-1][2].append("".join(sorted(own)))
+            else:
+                stack[-1][2].extend(parts)
+
+    for m in _SIGNS.finditer(text):
+        stack[-1][2].append(text[last : m.start()])
+        last = m.end()
+        sign = m.group()
+        if m.group(1):
+            stack.append(("L", [], []))
+        elif m.group(2):
+            if stack[-1][0] == "L":
+                close("L")
+            else:
+                close("}")
+                close(")")
+        elif sign in _PAIRS:
+            stack.append((_PAIRS[sign], [], []))
+        elif sign == ",":
+            if stack[-1][0] == "L":
+                stack[-1][1].append(stack[-1][2].copy())
+                stack[-1][2].clear()
+        else:
+            close(sign)
+    stack[-1][2].append(text[last:])
+    while len(stack) > 1:  # never closed: their parts in the order of the text
+        _, fields, parts = stack.pop()
+        stack[-1][2].extend(x for f in fields for x in f)
+        stack[-1][2].extend(parts)
+    return "".join(stack[0][2])
+
+
 def canonical_text(text: Column) -> Column:
-    """Letters and digits in order, lower case, the fields of each ``({ ... })`` sorted."""
+    """Letters and digits in order, lower case, the fields of each ``({ ... })`` sorted (``sorted_fields``)."""
     between = F.split(text, LITERAL)
     literals = F.regexp_extract_all(text, F.lit(LITERAL), F.lit(0))
 
     def one(outside: Column, i: Column) -> Column:
-        literal = F.get(literals, i)
-        inner = F.regexp_replace(literal, r"\A\(\s*\{|\}\s*\)\z", "")
-        fields = F.array_sort(F.transform(F.split(inner, FIELD_COMMA), letters_and_digits))
-        return F.concat(
-            letters_and_digits(outside), F.coalesce(F.array_join(fields, ""), F.lit(""))
-        )
+        fields = F.array_sort(F.transform(F.split(F.get(literals, i), ","), letters_and_digits))
+        return F.concat(letters_and_digits(outside), F.coalesce(F.array_join(fields, ""), F.lit("")))
 
     sorted_form = F.array_join(F.transform(between, one), "")
-    return F.when(text.contains("{"), sorted_form).otherwise(letters_and_digits(text))
+    # what is left when the plain literals are gone: a literal that needs the stack
+    harder = text.rlike(OPENING) & F.regexp_replace(text, LITERAL, "").rlike(OPENING)
+
+    @F.pandas_udf("string")
+    def stacked(texts: pd.Series) -> pd.Series:
+        return texts.map(sorted_fields, na_action="ignore")
+
+    by_stack = letters_and_digits(stacked(F.when(harder, text)))
+    return F.when(harder, by_stack).when(text.rlike(OPENING), sorted_form).otherwise(letters_and_digits(text))
 
 
 def copy_key(text: Column) -> Column:

@@ -5,18 +5,25 @@ _NAMED = "CASE WHEN lower(trim({c}, E' \\t\\n\\r')) NOT IN ('', 'n/a', 'na', 'un
 _BUNDLE = r"try_cast(regexp_extract(vfp_id, '(\d+)', 1) AS BIGINT)"
 
 _ALNUM = r"lower(regexp_replace({x}, '[^\p{{L}}\p{{N}}]+', '', 'g'))"
+# the fields of a literal x: split at commas before which two brackets, its own, are open
+_OPENED = r"(len(regexp_replace(x[1:j], '[^({\[]', '', 'g')) - len(regexp_replace(x[1:j], '[^)}\]]', '', 'g')))"
+_FIELDS = (
+    "string_split(array_to_string(list_transform(range(1, len(x) + 1), lambda j: CASE WHEN x[j] = ',' AND "
+    + _OPENED + " = 2 THEN chr(1) ELSE x[j] END), ''), chr(1))"
+)
+_LITERAL = r"\(\s*\{(?:[^(){}\[\]]|\([^(){}]*\)|\[[^\[\]{}]*\])*\}\s*\)"
 _COPIES = rf"""
 WITH s AS (
   SELECT example_id, function_source AS t,
-         regexp_extract_all(function_source, '\(\s*\{{[^{{}}]*\}}\s*\)') AS lits,
-         regexp_split_to_array(function_source, '\(\s*\{{[^{{}}]*\}}\s*\)') AS outs
+         regexp_extract_all(function_source, '{_LITERAL}') AS lits,
+         regexp_split_to_array(function_source, '{_LITERAL}') AS outs
   FROM forge_hyperedge_examples
   WHERE function_source IS NOT NULL AND regexp_matches(function_source, '[^\s\p{{Z}}]')
 ), k AS (
   SELECT example_id,
     array_to_string(list_transform(range(1, len(outs) + 1), lambda i:
       {_ALNUM.format(x="outs[i]")} ||
-      coalesce(array_to_string(list_sort(list_transform(string_split(lits[i], ','), lambda f: {_ALNUM.format(x="f")})), ''), '')), '') AS canon
+      coalesce(array_to_string(list_sort(list_transform({_FIELDS.replace("x[", "lits[i][").replace("len(x)", "len(lits[i])")}, lambda f: {_ALNUM.format(x="f")})), ''), '')), '') AS canon
   FROM s
 ), g AS (SELECT canon, min(example_id) AS kept_id, count(*) AS n_copies FROM k GROUP BY canon)
 """
