@@ -18,7 +18,7 @@ duckdb = pytest.importorskip("duckdb")
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_against_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("forge_constructable_hyperedges", "forge_hyperedge_examples", "sample_targets"):
+    for t in ("forge_constructable_hyperedges", "forge_hyperedge_examples", "sample_targets", "documents", "split_items"):
         con.execute(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet')")
     got = queries.queries()[name](spark, sf)
     want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.oracle_sql()[name]})").fetchall()
@@ -41,6 +41,30 @@ def test_copies(spark):
     assert canonical.copy_pairs(none).count() == 0 and canonical.hash_clashes(none).first()["n_hashes"] == 0
 
 
+NESTED = [
+    (1, "({a: f(x, h(1)), b: k(y, g(2))})"), (2, "({a: f(x, g(2)), b: k(y, h(1))})"), (3, "({ b: K(y, g(2)), a: f(x,h(1)) })"),
+    (4, "S({a: T({x: 1, y: 2}), b: [1, 2]})"), (5, "s({b: [1,2], a: t({y: 2, x: 1})})"), (6, "S({a: T({x: 2, y: 1}), b: [1, 2]})"),
+    (7, "f({a: 1, b: 2"), (8, "f({b: 2, a: 1"), (9, "F ( { A:1 , b : 2"), (10, "x({a: m[i], b: g(1)}) y({d, c})"), (11, "x({b: g(1), a: m[i]}) y({c, d})"),
+    (12, "y({d, c}) x({a: m[i], b: g(1)})"), (13, "g(function() { x, y; })"), (14, "g(function() { y, x; })"), (15, "({a: 'é', b: 漢})"), (16, "({b: 漢, a: É})"),
+]
+
+
+def test_copies_with_brackets_in_fields(spark):
+    """Hand-worked: commas part fields only where no bracket of the literal is open."""
+    sig = canonical.copy_signatures(spark.createDataFrame(NESTED, "id bigint, t string"), "id", "t")
+    assert {tuple(r) for r in canonical.copy_pairs(sig).collect()} == {(1, 3), (4, 5), (7, 9), (10, 11), (15, 16)}
+
+
+@pytest.mark.parametrize("name", ["p4_found", "p4_records"])
+def test_sql_of_copies_follows_the_same_rule(name):
+    con = duckdb.connect()
+    flat = [x for x in NESTED if x[0] not in (4, 5, 6)]  # SQL has no nested literals
+    con.execute("create table forge_hyperedge_examples(example_id bigint, function_source varchar)")
+    con.executemany("insert into forge_hyperedge_examples values (?, ?)", flat)
+    got = con.execute(queries.oracle_sql()[name]).fetchall()
+    assert {tuple(r) for r in got if name == "p4_found" or r[1] > 1} == ({(1, 3), (7, 9), (10, 11), (15, 16)} if name == "p4_found" else {(1, 2), (7, 2), (10, 2), (15, 2)})
+
+
 def brute_groups(rows, threshold, k):
     plain = lambda t: "".join(c for c in t.lower() if c.isalnum())
     fields = lambda m: "".join(sorted(plain(x) for x in re.split(r",(?![^(]*\))", m.group(1))))
@@ -355,6 +379,19 @@ def test_units_and_splits(spark):
     assert related_splits.swap_search_splits(related_splits.hyperedge_units(df.limit(0)), "severity").count() == 0
 
 
+def test_splits_of_many_shards(spark, monkeypatch):
+    """A component larger than a shard is made up for by the others in the second turn."""
+    monkeypatch.setattr(related_splits, "SHARD_UNITS", 60)
+    rng = np.random.default_rng(15)
+    rows = [(f"u{u}", "a" if rng.random() < 0.2 else "b") for u in np.minimum(rng.zipf(1.3, 6000), 900)]
+    df = spark.createDataFrame(rows, "unit string, label string")
+    got = related_splits.swap_search_splits(df, "label", steps=2000).collect()
+    assert len(got) == 6000 and all(len({r["split"] for r in got if r["unit"] == u}) == 1 for u in ("u1", "u2", "u900"))
+    report = related_splits.split_report(spark.createDataFrame(got), "label", queries.NAMES, queries.SHARES).collect()
+    assert {r["label"] for r in report} == {None, "a", "b"} and sum(r["n"] for r in report) == 12000
+    assert max(abs(r["share"] - r["wanted"]) for r in report) < 0.02
+
+
 def test_search_improves_on_its_start():
     rng = np.random.default_rng(1)
     sizes = np.c_[rng.integers(1, 300, 200), rng.integers(0, 30, 200)].astype(float)
@@ -385,6 +422,23 @@ def test_counts_are_repaired():
     assert target_sample.repair_counts(np.array([9, 9]), np.array([0.5, 0.5]), np.array([9, 9]), 4).sum() == 4
 
 
+def test_counts_of_any_size_are_repaired_alike():
+    for scale in (1, 10**6, 10**9):
+        have = np.array([700, 250, 20, 30]) * scale
+        n = target_sample.repair_counts(have, np.array([0.25, 0.25, 0.25, 0.25]), np.array([5, 5, 5, 5]), 100 * scale)
+        assert n.sum() == 100 * scale and (n <= have).all() and n[2] == 20 * scale and abs(n[3] - 25 * scale) <= 1
+
+
+def test_every_target_called_met_is_drawn():
+    rng = np.random.default_rng(14)
+    for _ in range(60):
+        have, share = rng.integers(0, 400, 12), rng.dirichlet(np.ones(12))
+        floor, size = rng.integers(0, 4, 12), int(have.sum()) // 10
+        n = target_sample.repair_counts(have, share, floor, size)
+        met = target_sample.targets_met(have, share, floor, size)
+        assert (n[met] >= np.maximum(floor, np.floor(share * size) - 1)[met]).all() and (n[~met] == have[~met]).all()
+
+
 def test_sample_meets_targets(spark):
     rng = np.random.default_rng(0)
     rows = [(i, [None, "a", "b", "c"][int(k)]) for i, k in enumerate(rng.choice(4, 5000, p=[0.05, 0.8, 0.14, 0.01]))]

@@ -73,3 +73,13 @@ def split_oversized(
         F.greatest("n_pieces", F.lit(0)).alias("n_pieces"),
         F.coalesce("__p.overlap", F.lit(0)).alias("overlap"), F.col("__p.piece").alias("piece"),
     )
+
+
+def rebuilt(pieces: DataFrame, id_col: str, text: str, limit: int) -> DataFrame:
+    """``<id_col>, <text>, over``: the texts again from the pieces of ``split_oversized`` of unique ids, null for
+    a null text, and the number of each one's pieces of more than ``limit`` code points."""
+    body = F.col("piece").substr(F.col("overlap") + 1, F.length("piece"))
+    parts = F.array_sort(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("piece_no", body.alias("body")))))
+    return pieces.groupBy(id_col).agg(parts.alias("__p"), F.count_if(F.length("piece") > limit).alias("over")).select(
+        id_col, F.when(F.size("__p") > 0, F.array_join(F.transform("__p", lambda x: x["body"]), "")).alias(text), "over"
+    )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.rules import vulnerability_type
 from weftline.llm import abuse, bpe, canonical, neardup, overlap, packing, pieces, related_splits, target_sample
-from weftline.llm.records import bundle_number, file_name, grade
+from weftline.llm.records import grade
 from weftline.llm.shingles import tokenized
 
 
@@ -31,6 +31,11 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return p1_pieces(spark, sf).where("piece_no = 1").select("example_id")
 
 
+def p1_over(spark: SparkSession, sf: str) -> DataFrame:
+    """Every source back from its pieces without what they repeat, with the number of pieces over the limit."""
+    return pieces.rebuilt(p1_pieces(spark, sf), "example_id", "function_source", 1200)
+
+
 #: Runs of three words and a similarity of 0.6, as the problem states them.
 RUN, ALIKE = 3, 0.6
 
@@ -51,17 +56,39 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.group_pairs(_groups(spark, sf))
 
 
+NAMES, SHARES = ("train", "val", "test"), (0.70, 0.15, 0.15)
+
+
+def _splits(spark: SparkSession, sf: str) -> DataFrame:
+    units = related_splits.hyperedge_units(_read(spark, sf, "forge_constructable_hyperedges"))
+    return related_splits.swap_search_splits(units.withColumn("grade", grade(F.col("severity"))), "grade", NAMES, SHARES)
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _read(spark, sf, "forge_constructable_hyperedges", "vfp_id", "file").select(
-        bundle_number(F.col("vfp_id")).alias("bundle"), file_name(F.col("file")).alias("file")
-    )
-    return related_splits.component_pairs(related_splits.bundle_components(rows, "bundle", "file"))
+    """Pairs of bundles that the search could move only together."""
+    rows = _splits(spark, sf).where("bundle is not null").select(F.col("bundle").alias("node"), F.col("unit").alias("component"))
+    return related_splits.component_pairs(rows.distinct())
 
 
 def p3_splits(spark: SparkSession, sf: str) -> DataFrame:
-    units = related_splits.hyperedge_units(_read(spark, sf, "forge_constructable_hyperedges"))
-    graded = units.withColumn("grade", grade(F.col("severity")))
-    return related_splits.swap_search_splits(graded, "grade").select("hyperedge_id", "unit", "split")
+    return _splits(spark, sf).select("hyperedge_id", "unit", "split")
+
+
+def p3_report(spark: SparkSession, sf: str) -> DataFrame:
+    """How near the splits come to their shares, in all and by grade."""
+    return related_splits.split_report(_splits(spark, sf), "grade", NAMES, SHARES)
+
+
+def p3_torn(spark: SparkSession, sf: str) -> DataFrame:
+    """One row: hyperedges placed, bundles and files of which two hyperedges lie in different splits, and
+    splits more than a hundredth off their share."""
+    placed = _splits(spark, sf)
+    torn = lambda c: placed.where(F.col(c).isNotNull()).groupBy(c).agg(F.count_distinct("split").alias("n")).agg(F.count_if(F.col("n") > 1).alias(f"torn_{c}s"))
+    n = placed.groupBy("split").agg(F.count(F.lit(1)).alias("n")).agg(
+        F.sum("n").alias("n_rows"), F.map_from_entries(F.collect_list(F.struct("split", "n"))).alias("by")
+    )
+    off = sum((F.abs(F.coalesce(F.col("by")[s], F.lit(0)) / F.col("n_rows") - w) > 0.01).cast("long") for s, w in zip(NAMES, SHARES))
+    return n.select("n_rows", off.alias("off_splits")).crossJoin(torn("bundle")).crossJoin(torn("file"))
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -145,6 +172,24 @@ def p6_sample(spark: SparkSession, sf: str) -> DataFrame:
     return _sampled(spark, sf)[0]
 
 
+def p6_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """One row: the sample's rows, repeats among them, targets under their floor though there was stock, and
+    targets that are called met but drawn more than one row under their share; the last two are 0 where
+    the sample is too small for all floors and shares together."""
+    sample, report = _sampled(spark, sf)
+    targets = _read(spark, sf, "sample_targets").select("target_id", "min_rows")
+    n = sample.agg(F.count(F.lit(1)).alias("n_rows"), (F.count(F.lit(1)) - F.count_distinct("hyperedge_id")).alias("repeats"))
+    off = report.join(targets, "target_id").agg(
+        F.count_if(F.col("drawn") < F.least("available", "min_rows")).alias("low"),
+        F.count_if(F.col("met") & (F.col("drawn") < F.floor("wanted") - 1)).alias("less"),
+        F.sum(F.least("available", F.floor("wanted"))).alias("asked"),
+    )
+    fits = F.coalesce(F.col("asked") <= F.col("n_rows"), F.lit(False))
+    return n.crossJoin(off).select(
+        "n_rows", "repeats", *[F.when(fits, F.col(c)).otherwise(F.lit(0).cast("long")).alias(a) for c, a in (("low", "under_floor"), ("less", "under_share"))]
+    )
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode_corpus(_read(spark, sf, "documents", "doc_id", "text"), "doc_id", "text")
 
@@ -206,8 +251,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            p1_found, p1_pieces, p2_found, p2_groups, p3_found, p3_splits, p4_found, p4_records, p4_hash_clashes,
-            p5_found, p5_report, p5_matches, p5_sources, p6_found, p6_report, p6_sample, p7_ids, p7_decoded, p8_found, p8_containers, p8_fill, p8_limits,
+            p1_found, p1_pieces, p1_over, p2_found, p2_groups, p3_found, p3_splits, p3_report, p3_torn, p4_found, p4_records, p4_hash_clashes,
+            p5_found, p5_report, p5_matches, p5_sources, p6_found, p6_report, p6_sample, p6_checks, p7_ids, p7_decoded, p8_found, p8_containers, p8_fill, p8_limits,
             p9_found, p9_scores, p9_rates,
         )
     }

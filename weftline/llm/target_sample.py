@@ -23,7 +23,7 @@ def repair_counts(
 ) -> np.ndarray:
     """How many to draw of each signature: at most ``have``, ``size`` in all if there are as many.
 
-    Starts from the floors filled up by a random draw without replacement, then moves counts from
+    Starts from the floors filled up by a random draw of the rest, then moves counts from
     one signature to another by the largest step that lowers the sum of absolute deviations from
     ``target * size``, until none does. The floors hold wherever ``have`` allows.
     """
@@ -35,14 +35,11 @@ def repair_counts(
         for i in order:
             low[i] = min(low[i], left)
             left -= low[i]
-    n, rest = low.copy(), (have - low).astype(np.int64)
-    if rest.sum() < 1_000_000_000:
-        n = n + rng.multivariate_hypergeometric(rest, size - int(low.sum()), method="marginals")
-    else:
-        n = n + np.floor(rest * ((size - low.sum()) / rest.sum())).astype(np.int64)
-        for i in np.argsort(-(rest - (n - low))):
-            step = min(size - int(n.sum()), int(have[i] - n[i]))
-            n[i] += step
+    n = low.copy().astype(np.int64)
+    while (short := size - int(n.sum())) > 0:
+        # each record left falls to a category by what that has left, and what exceeds its stock falls again
+        rest = have - n
+        n = np.minimum(n + rng.multinomial(short, rest / rest.sum()), have)
     want = target * size
     while True:
         over, under = n - want, want - n
@@ -63,6 +60,12 @@ def repair_counts(
         n[j] += step
 
 
+def targets_met(have: np.ndarray, share: np.ndarray, floor: np.ndarray, size: int) -> np.ndarray:
+    """Whether each category has as many records as the larger of its floor and its share of the sample.
+    Of one that has not, the repair leaves nothing undrawn."""
+    return have >= np.maximum(floor, share * size)
+
+
 def draw_by_counts(rows: DataFrame, key: str, id_col: str, quota: DataFrame, seed: int = 42) -> DataFrame:
     """The ``n`` rows of least seeded hash of each ``key``, exactly, by ``quota`` (``key, n``).
 
@@ -99,7 +102,7 @@ def sample_to_targets(
     sample has ``floor(share * rows)`` records; records without a category enter only where the
     categories have too few. The report has ``target_id, available, wanted, drawn, met``: a target
     is not met if its category has fewer records than the larger of ``min_rows`` and its share of
-    the sample.
+    the sample. All of its records are then in the sample.
     """
     spark = rows.sparkSession
     rows = materialize(rows, "pool")
@@ -114,9 +117,10 @@ def sample_to_targets(
     wish = np.array([r["target_share"] or 0.0 for r in full])
     floor = np.array([r["min_rows"] or 0 for r in full], np.int64)
     n = repair_counts(have, wish, floor, size, seed) if len(full) else have
+    met = targets_met(have, wish, floor, size)
     report = [
-        (r["target_id"], int(h), float(max(f, w * size)), int(k), bool(h >= max(f, w * size)))
-        for r, h, f, w, k in zip(full, have, floor, wish, n)
+        (r["target_id"], int(h), float(max(f, w * size)), int(k), bool(m))
+        for r, h, f, w, k, m in zip(full, have, floor, wish, n, met)
         if r["target_id"] is not None
     ]
     report_df = spark.createDataFrame(report, "target_id int, available long, wanted double, drawn long, met boolean")
