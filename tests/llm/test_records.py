@@ -380,7 +380,7 @@ def test_units_and_splits(spark):
 
 
 def test_splits_of_many_shards(spark, monkeypatch):
-    """A component larger than a shard is made up for by the others in the second turn."""
+    """A component larger than a shard is made up for by the others in further turns."""
     monkeypatch.setattr(related_splits, "SHARD_UNITS", 60)
     rng = np.random.default_rng(15)
     rows = [(f"u{u}", "a" if rng.random() < 0.2 else "b") for u in np.minimum(rng.zipf(1.3, 6000), 900)]

@@ -3,7 +3,7 @@
 Bundles joined by files form components; whole components are given to splits. A component swap
 search starts from a hashed assignment and exchanges or moves components by annealing, several
 chains in parallel, and keeps the best. Components are dealt to shards by hash, each annealed towards
-its own rows in the given shares, and in a second turn towards what all shards together are off.
+its own rows in the given shares, and in further turns towards what all shards together are off.
 """
 
 from __future__ import annotations
@@ -104,15 +104,15 @@ def _search(
 def swap_search_splits(
     units: DataFrame, label: str, names: Sequence[str] = ("train", "val", "test"),
     shares: Sequence[float] = (0.70, 0.15, 0.15), chains: int = 6, steps: int = 20_000,
-    labels: int = 8, turns: int = 2,
+    labels: int = 8, turns: int = 4, near: float = 0.001,
 ) -> DataFrame:
     """``units`` (with ``unit``) with ``split``.
 
     The ``labels`` most frequent values of ``label`` are balanced, the others together; a null
     label counts as a value. Every component moves on its own, within its shard of SHARD_UNITS
-    components on average; of the ``chains`` of a shard the best is kept. In the second turn each
-    shard takes over, by its rows, a part of what the splits of all shards are off, which is where a
-    component too large for its shard is made up for. Only sums by split and label (a bounded table)
+    components on average; of the ``chains`` of a shard the best is kept. In further turns, as long as
+    they help and the deviation is above ``near``, each shard takes over an equal part, by its components, of what the splits of all shards
+    are off, which is where a component too large for its shard is made up for. Only sums by split and label (a bounded table)
     come to the driver. Deterministic for given rows. Nothing is dropped; an empty table stays empty.
     """
     spark = units.sparkSession
@@ -123,9 +123,10 @@ def swap_search_splits(
         counts = [F.count(F.lit(1)).alias("c0")] + [F.count_if(value == v).alias(f"c{i + 1}") for i, v in enumerate(top)]
         cs = [f"c{i}" for i in range(len(counts))]
         sized = materialize(units.groupBy("unit").agg(*counts), "sized")
-        shards = max(1, -(-sized.count() // SHARD_UNITS))
+        units_n = sized.count()
+        shards = max(1, -(-units_n // SHARD_UNITS))
         placed = sized.withColumn("shard", F.pmod(F.xxhash64("unit"), F.lit(shards))).withColumn("place", F.lit(-1))
-        best, least, rows, have = None, np.inf, 1.0, np.zeros(0)
+        best, least, have = None, np.inf, np.zeros(0)
         for turn in range(turns):
             off = None if best is None else shares_a[:, None] * have.sum(0) - have
 
@@ -139,7 +140,7 @@ def swap_search_splits(
                 else:
                     own = np.zeros((len(shares_a), len(cs)))
                     np.add.at(own, start, size)
-                    target = own + off * (size[:, 0].sum() / rows)
+                    target = own + off * (len(size) / units_n)
                 cost, got = _search(size, shares_a, start, seed + turn * chains, steps, target)
                 return pd.DataFrame({"shard": pdf["shard"], "chain": seed, "cost": cost, "unit": pdf["unit"], "place": got})
 
@@ -163,6 +164,8 @@ def swap_search_splits(
             if cost >= least:
                 break
             best, least, placed = after, cost, after
+            if cost <= near:
+                break
         split = F.get(F.array(*[F.lit(n) for n in names]), F.col("place")).alias("split")
         by_unit = materialize(best.select("unit", split), "unitsplit")
         keep(by_unit)
