@@ -149,9 +149,22 @@ def test_disguises_of_words_are_undone():
     assert words("you i­d​i‍ot") == ["you", "idiot"]
     assert words("s.c.u.m.b.a.g!!") == ["scumbag"]
     assert words("bаstаrd ASSH0LE $tupid") == ["bastard", "asshole", "stupid"]
+    assert words("you iDiot, _idiot_ __idiot") == ["you", "idiot", "idiot", "idiot"]
+    assert words("_dailyLimit IVaultToken Router.sol toFee") == ["xid", "xid", "xid", "tofee"]
     assert abuse.passages(None) == [] and abuse.passages(" \n ") == []
 
 
+def test_words_are_summed_once_and_scored_as_bags():
+    rng = np.random.default_rng(3)
+    weights = rng.normal(size=abuse.BUCKETS + 1).astype(np.float32)
+    parts = [abuse.passages(t)[0] for t in ("You are so slow", "the slow pool drains", "slow", "You are so slow")]
+    feat, own = abuse.bags(parts)
+    size = np.bincount(own, minlength=4)
+    want = 1 / (1 + np.exp(-np.bincount(own, weights[:-1][feat], 4) / (size + abuse.SHRINK) - weights[-1]))
+    scorer = abuse.Scorer(weights)
+    assert np.allclose(scorer.scores(parts[:2]), want[:2]) and np.allclose(scorer.scores(parts), want)
+
+
 def test_scorer_on_held_out_texts(spark):
     rng = random.Random(0)
     clean = ["The guard on {} covers deposits.", "Please add a test for {}.", "Interest on {} is charged late.", "The style guide forbids rude words in {}."]

@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 MAX_LABELLED = 20_000
 BUCKETS, DIM = 1 << 17, 12
 PASSAGE_WORDS = 60
+#: Words whose forms and features a worker keeps before it forgets them; memory only, never the result.
+KNOWN_WORDS = 400_000
 #: Added to the number of subwords when averaging, so that a passage of a word or two says little.
 SHRINK = 4
 
@@ -38,8 +40,14 @@ LOOKALIKES = {
     "ı": "i", "@": "a", "$": "s", "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t",
 }
 _LOOK = str.maketrans(LOOKALIKES)
-_LETTERS_ONLY = str.maketrans({k: v for k, v in LOOKALIKES.items() if k.isalpha()})
-_IDENTIFIER = re.compile(r"\b_?[A-Za-z][a-z]*(?:[A-Z][a-z]{3,}\w*)+(?:\.sol)?\b|\b\w+\.sol\b|\b_\w+")
+# letters in their Latin look, and nothing for invisible characters and accents
+_LETTERS_ONLY = str.maketrans(
+    {k: v for k, v in LOOKALIKES.items() if k.isalpha()} | {chr(c): None for c in range(0x110000) if unicodedata.category(chr(c)) in ("Cf", "Mn")}
+)
+# a name of code: capitals within (but for one after a single small letter), a file, an underscore before
+# capitals or digits
+_IDENTIFIER = re.compile(r"\b_*(?:[A-Z][a-z]*|[a-z]{2,})(?:[A-Z][a-z]{3,}\w*)+(?:\.sol)?\b|\b[a-z](?:[A-Z][a-z]{3,}\w*){2,}\b|\b\w+\.sol\b|\b_+\w*[A-Z0-9]\w*")
+_EMPHASIS = re.compile(r"(?<![^\W_])_+|_+(?![^\W_])")
 _SPELLED = re.compile(r"(?<![^\W_])[^\W\d_](?:[.\-_*·|]{1,2}[^\W\d_]){2,}(?![^\W_])|(?<![^\W_])[^\W\d_](?: [^\W\d_]){3,}(?![^\W_])")
 _DRAWN_OUT = re.compile(r"([^\W\d_])\1{2,}")
 _SIGNS = re.compile(r"[.\-_*·| ]")
@@ -48,16 +56,29 @@ _WORD = re.compile(r"[^\W_]+(?:[@$#*!+][^\W_]+|[@$#*])*|[@$#*][^\W_]+")
 
 
 def plain(text: str) -> str:
-    """Without invisible characters, compatibility forms, accents and drawn-out letters; words
-    spelled letter by letter are joined, identifiers of code replaced by one word."""
+    """Without invisible characters, compatibility forms, accents, drawn-out letters and underscores around
+    words; words spelled letter by letter are joined, identifiers of code replaced by one word."""
     if not text.isascii():
-        text = "".join(c for c in text if unicodedata.category(c) != "Cf")
-        text = unicodedata.normalize("NFKD", text)
-        text = "".join(c for c in text if unicodedata.category(c) != "Mn").translate(_LETTERS_ONLY)
+        text = unicodedata.normalize("NFKD", text).translate(_LETTERS_ONLY)
     text = _DRAWN_OUT.sub(r"\1", _IDENTIFIER.sub(" xid ", text))
+    if "_" in text:
+        text = _EMPHASIS.sub(" ", text)
     return _SPELLED.sub(lambda m: _SIGNS.sub("", m.group()), text).lower()
 
 
+class _Words(dict):
+    """The form of each word met: signs for letters undone, '' for numbers."""
+
+    def __missing__(self, word: str) -> str:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        self[word] = form = word if word.isalpha() else "" if word.isdigit() else word.translate(_LOOK)
+        return form
+
+
+_forms = _Words()
+
+
 def passages(text: str | None) -> list[list[str]]:
     """The words of each sentence, line, table cell or quoted field of a text; long ones in parts."""
     if not text or not text.strip():
@@ -65,14 +86,13 @@ def passages(text: str | None) -> list[list[str]]:
     out = []
     for part in _END.split(plain(text)):
         if part and not part.isspace():
-            words = []
-            for w in _WORD.findall(part):
-                if w.isdigit():
-                    continue
-                words.append(w if w.isalpha() else w.translate(_LOOK))
-            step = -(-len(words) // max(1, -(-len(words) // PASSAGE_WORDS)))
-            out += [words[i : i + step] for i in range(0, len(words), max(step, 1))]
-    return out
+            words = [form for w in _WORD.findall(part) if (form := _forms[w])]
+            if len(words) <= PASSAGE_WORDS:
+                out.append(words)
+                continue
+            step = -(-len(words) // -(-len(words) // PASSAGE_WORDS))
+            out += [words[i : i + step] for i in range(0, len(words), step)]
+    return [p for p in out if p]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -112,6 +132,12 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return buckets, np.concatenate(owners), whole
 
 
+def word_pairs(whole: np.ndarray) -> np.ndarray:
+    """Buckets of words and the next ones, from the hashes of words."""
+    two = _mix(whole[:-1] * np.uint64(3) + whole[1:] + np.uint64(77))
+    return (two % np.uint64(BUCKETS)).astype(np.int64)
+
+
 def bags(parts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all passages together and the passage of each, passages in ascending order."""
     flat = [w for p in parts for w in p]
@@ -129,8 +155,7 @@ def bags(parts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     spot = np.repeat(first[ids] - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())
     feat, own = buckets[spot], np.repeat(passage, reps)
     pair = passage[1:] == passage[:-1]
-    two = _mix(whole[ids[:-1]] * np.uint64(3) + whole[ids[1:]] + np.uint64(77))[pair]
-    feat = np.r_[feat, (two % np.uint64(BUCKETS)).astype(np.int64)]
+    feat = np.r_[feat, word_pairs(whole[ids])[pair]]
     own = np.r_[own, passage[1:][pair]]
     order = np.argsort(own, kind="stable")
     return feat[order], own[order]
@@ -181,19 +206,42 @@ class Subwords:
         return np.r_[self.emb @ (self.out[:, 1] - self.out[:, 0]), self.bias[1] - self.bias[0]].astype(np.float32)
 
 
-def passage_scores(parts: list[list[str]], weights: np.ndarray) -> np.ndarray:
-    feat, own = bags(parts)
-    size = np.bincount(own, minlength=len(parts))
-    total = np.bincount(own, weights[:-1][feat], len(parts))
-    z = total / (size + SHRINK) + weights[-1]
-    return np.where(size > 0, 1 / (1 + np.exp(-z)), 0.0)
+class Scorer:
+    """Scores passages by the weights; keeps the summed weights of the subwords of each word it has met."""
+
+    def __init__(self, weights: np.ndarray):
+        self.weights = weights
+        self.forget()
+
+    def forget(self) -> None:
+        self.index: dict[str, int] = {}
+        self.total, self.size, self.hash = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+
+    def scores(self, parts: list[list[str]]) -> np.ndarray:
+        """One score a passage: the softmax of the averaged subwords, 0 without words."""
+        if len(self.index) >= KNOWN_WORDS:
+            self.forget()
+        index, known = self.index, len(self.index)
+        ids = np.array([index.setdefault(w, len(index)) for p in parts for w in p], np.int64)
+        if len(index) > known:
+            buckets, owner, whole = word_features(list(index)[known:])
+            self.total = np.r_[self.total, np.bincount(owner, self.weights[:-1][buckets], len(index) - known)]
+            self.size = np.r_[self.size, np.bincount(owner, minlength=len(index) - known)]
+            self.hash = np.r_[self.hash, whole]
+        passage = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        total = np.bincount(passage, self.total[ids], len(parts))
+        size = np.bincount(passage, self.size[ids], len(parts))
+        pair = passage[1:] == passage[:-1]
+        total += np.bincount(passage[1:][pair], self.weights[word_pairs(self.hash[ids])[pair]], len(parts))
+        size += np.bincount(passage[1:][pair], minlength=len(parts))
+        return np.where(size > 0, 1 / (1 + np.exp(-total / (size + SHRINK) - self.weights[-1])), 0.0)
 
 
 def train(texts: list[str | None], labels: np.ndarray, rounds: int = 3, seed: int = 7) -> np.ndarray:
     """Weights from texts and the mean of their judges' labels."""
     parts, doc = [], []
     for i, text in enumerate(texts):
-        own = [p for p in passages(text) if p]
+        own = passages(text)
         parts += own
         doc += [i] * len(own)
     if not parts or not (labels >= 0.5).any() or (labels >= 0.5).all():
@@ -254,7 +302,7 @@ def score_texts(docs: DataFrame, weights: np.ndarray, id_col: str, text_col: str
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = shared.value
+        scorer = Scorer(shared.value)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
             score = np.zeros(len(texts))
@@ -266,7 +314,7 @@ def score_texts(docs: DataFrame, weights: np.ndarray, id_col: str, text_col: str
                     parts += own
                     doc += [i] * len(own)
                 if parts:
-                    np.maximum.at(score, np.array(doc), passage_scores(parts, w))
+                    np.maximum.at(score, np.array(doc), scorer.scores(parts))
             cols = [*batch.columns[:-1], pa.array(score)]
             yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names[:-1], "score"])
 
