@@ -77,6 +77,19 @@ READ_ONLY = [
     "getAmountsOut", "getAmountsIn", "getLUSDDebt", "getEntireSystemDebt", "getCollateral", "getDebt",
     "slot0", "positions", "computeAddress", "mul", "div", "add", "sub", "mod",
 ]
+# Methods that only read, as the review of labels has them (M15), a shorter list than that of M17.
+REVIEW_READ_ONLY = [
+    "balanceOf", "allowance", "getPrice", "latestAnswer", "latestRoundData", "getPricePerFullShare",
+    "get_virtual_price", "getSharesByPooledEth", "getPooledEthByShares", "getLUSDDebt", "totalSupply",
+    "decimals", "symbol", "name", "slot0", "positions", "computeAddress", "mul", "div", "add", "sub",
+]
+# Words in a receiver's name that make a call external where nothing else does, and
+# members that are none.
+FALLBACK_WORDS = [
+    "token", "vault", "pool", "oracle", "router", "manager", "registry", "factory", "strategy", "game",
+    "governor", "bridge", "escrow", "wallet", "aggregator",
+]
+BUILTIN_MEMBERS = ["length", "push", "pop", "selector", "balance", "code", "codehash"]
 # Methods that move value.
 VALUE_TRANSFER = ["transfer", "transferFrom", "approve", "safeTransfer", "safeTransferFrom", "safeApprove", "sendETH", "returnData"]
 
@@ -132,11 +145,15 @@ def is_contract_type(type_name: Column, known: Column | None = None) -> Column:
     return F.coalesce(~primitive & hit, F.lit(False))
 
 
-def classify_call(method: Column, receiver: Column, receiver_type: Column, scope: Column, is_cast: Column, known: Column | None = None) -> Column:
+def classify_call(
+    method: Column, receiver: Column, receiver_type: Column, scope: Column, is_cast: Column, known: Column | None = None,
+    fallback: bool = False, chain: Column | None = None,
+) -> Column:
     """The kind of a member call, null for one that leaves the contract in no way.
 
     ``receiver_type`` is the declared type of the receiver and ``scope`` where it is declared
-    (``state`` or ``local``), both null for other names. Rules apply in order.
+    (``state`` or ``local``), both null for other names. Rules apply in order. With ``fallback`` (C8) a
+    word in the receiver's name, or in the text ``chain`` of a receiver of several members, decides last.
     """
     globals_ = receiver.isin(BUILTIN_GLOBALS) & (receiver != "this")
     named_type = receiver.rlike(r"\AI[A-Z]")
@@ -154,9 +171,43 @@ def classify_call(method: Column, receiver: Column, receiver_type: Column, scope
         .when(receiver.isNull() | (receiver == "this"), None)
         .when(method.isin(ERC_LIKE), "erc-like").when(method.isin(DEFI), "defi")
         .when(method.isin(ORACLE), "oracle").when(method.isin(OTHER_EXTERNAL), "other")
+        .when(F.lit(fallback) & _by_word(method, receiver, chain), "fallback")
     )
 
 
+def _by_word(method: Column, receiver: Column, chain: Column | None) -> Column:
+    """A receiver that does not begin with a capital, or a chain of members, with one of the words."""
+    words = "|".join(FALLBACK_WORDS)
+    hit = ~receiver.rlike(r"\A\p{Lu}") & F.lower(receiver).rlike(words) & ~receiver.isin(BUILTIN_GLOBALS)
+    if chain is not None:
+        hit = hit | (chain.contains(".") & F.lower(chain).rlike(words))
+    return F.coalesce(hit & ~method.isin(BUILTIN_MEMBERS), F.lit(False))
+
+
+def type_of_call(kind: Column, receiver: Column, receiver_type: Column) -> Column:
+    """The contract type a call of this kind goes to: the declared type, or the receiver's own name; null
+    for calls that are told by their method."""
+    return F.when(kind.isin("state-var", "local-var"), receiver_type).when(kind.isin("cast", "contract-name"), receiver)
+
+
+def is_cross_contract(types: Column, contracts: Column, own: Column) -> Column:
+    """C11: whether any call goes to a contract of the bundle other than its own; ``types`` are those of
+    ``type_of_call``, ``contracts`` the names in the bundle."""
+    bare = F.transform(types, lambda t: F.trim(F.regexp_replace(t, r"[\[\]]+\z", "")))
+    return F.coalesce(F.exists(bare, lambda t: t.isNotNull() & F.array_contains(contracts, t) & (t != own)), F.lit(False))
+
+
+def leaves_contract(receivers: Column, own: Column, bases: Column) -> Column:
+    """C12, the test of the review: whether any call's receiver is neither the contract, ``this`` nor a direct
+    base. A receiver that has no name counts as one of the contract."""
+    return F.coalesce(F.exists(receivers, lambda r: r.isNotNull() & (r != own) & (r != "this") & ~F.array_contains(bases, r)), F.lit(False))
+
+
+def label_of(is_positive: Column) -> Column:
+    """1 for a positive, else 0; null counts as no positive."""
+    return F.coalesce(is_positive.cast("int"), F.lit(0))
+
+
 def label_is_invalid(code: Column, view_or_pure: Column, methods: Column) -> Column:
     """An unchecked-return label on a view or pure function all of whose calls only read.
 
@@ -165,18 +216,35 @@ def label_is_invalid(code: Column, view_or_pure: Column, methods: Column) -> Col
     return code.contains("104") & view_or_pure & F.forall(methods, lambda m: m.isin(READ_ONLY))
 
 
-def label_quality(code: Column, src: Column, methods: Column, state_vars: Column, view_or_pure: Column) -> Column:
-    """CONFIRMED, MISLOCATED, COMMIT_DRIFT or DUBIOUS by ordered rules for each code."""
-    calls, state = F.size(methods) > 0, F.size(state_vars) > 0
-    only_reads = F.forall(methods, lambda m: m.isin(READ_ONLY))
-    delegates = F.exists(methods, lambda m: m.contains("delegatecall")) | src.contains("delegatecall")
-    low = F.exists(methods, lambda m: m.isin("call", "send", "delegatecall", "staticcall", "transfer"))
-    value = F.exists(methods, lambda m: m.isin(VALUE_TRANSFER))
+def label_quality(code: Column, category: Column, src: Column, methods: Column, calls: Column, state_vars: Column, writes: Column) -> Column:
+    """A struct ``quality, reason`` by ordered rules for each code, or what the category says.
+
+    ``methods`` and ``calls`` are the methods and texts of the external calls, ``writes`` whether the source
+    assigns to a state variable (C20). Null code and category count as empty.
+    """
+    code, category = F.coalesce(code, F.lit("")), F.lower(F.coalesce(category, F.lit("")))
+    is_ = lambda number, *words: code.contains(number) | F.greatest(*[category.contains(w) for w in words], F.lit(False))
+    any_of = lambda names: F.exists(methods, lambda m: m.isin(names))
+    delegates = F.exists(methods, lambda m: m.contains("delegatecall")) | F.exists(calls, lambda c: c.contains("delegatecall"))
+    only_reads = F.forall(methods, lambda m: m.isin(REVIEW_READ_ONLY))
+    head = F.substring_index(src, "{", 1)
+    say = lambda quality, reason: F.struct(F.lit(quality).alias("quality"), F.lit(reason).alias("reason"))
+    unchecked = (
+        F.when(any_of(LOW_LEVEL), say("CONFIRMED", "low-level call"))
+        .when(any_of(VALUE_TRANSFER), say("CONFIRMED", "value transfer"))
+        .when((head.contains("view") | head.contains("pure")) & only_reads, say("DUBIOUS", "view that only reads"))
+        .when(only_reads, say("DUBIOUS", "only reads"))
+        .otherwise(say("CONFIRMED", "external call"))
+    )
     return (
-        F.when(src.isNull(), "COMMIT_DRIFT").when(~calls | ~state, "DUBIOUS")
-        .when(code.contains("107"), "CONFIRMED")
-        .when(code.contains("112"), F.when(delegates, "CONFIRMED").otherwise("MISLOCATED"))
-        .when(code.contains("104") & (low | value), "CONFIRMED")
-        .when(code.contains("104") & only_reads, "DUBIOUS")
-        .otherwise("CONFIRMED")
+        F.when(src.isNull(), say("COMMIT_DRIFT", "no source"))
+        .when(F.size(methods) == 0, say("DUBIOUS", "no call")).when(F.size(state_vars) == 0, say("DUBIOUS", "no state"))
+        .when(is_("107", "reentrancy") & writes, say("CONFIRMED", "call and write"))
+        .when(is_("107", "reentrancy"), say("CONFIRMED", "call and access"))
+        .when(is_("112", "delegatecall") & delegates, say("CONFIRMED", "delegatecall"))
+        .when(is_("112", "delegatecall") & src.contains("delegatecall"), say("CONFIRMED", "delegatecall in the text"))
+        .when(is_("112", "delegatecall"), say("MISLOCATED", "no delegatecall"))
+        .when(is_("104", "unchecked"), unchecked)
+        .when(is_("114", "front", "transaction order"), say("CONFIRMED", "call that depends on state"))
+        .otherwise(say("CONFIRMED", "constructable"))
     )

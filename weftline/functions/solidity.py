@@ -39,6 +39,7 @@ class Tokens:
     start: list[int] = field(default_factory=list)
     end: list[int] = field(default_factory=list)
     partner: list[int] = field(default_factory=list)
+    outer: list[int] = field(default_factory=list)  # the innermost bracket open around each token, -1 for none
     matched: bool = True
 
 
@@ -53,6 +54,7 @@ def scan(src: str) -> Tokens:
         t.start.append(m.start())
         t.end.append(m.end())
         t.partner.append(-1)
+        t.outer.append(stack[-1] if stack else -1)
         if m.lastgroup == "op":
             if m.group() in OPEN:
                 stack.append(i)
@@ -141,7 +143,7 @@ def local_types(t: Tokens) -> dict[str, str]:
     for i in range(len(t.text)):
         if i == 0 or t.text[i - 1] in {"(", ",", ";", "{", "}"} or t.text[i - 1] == ")":
             # a type never follows a member access, a call argument list never has two names in a row
-            got = _declared(t, i, min(i + 40, len(t.text)))
+            got = _declared(t, i, len(t.text))
             if got:
                 out.setdefault(got[1], got[0])
     return out
@@ -205,7 +207,11 @@ def _is_write(t: Tokens, i: int) -> bool:
             # leaving a call or tuple: what follows may still assign to the tuple
             pass
         elif t.text[j] in {"==", "!=", "<=", ">=", "&&", "||", ",", "<", ">", "?", "+", "-", "*", "/"} and j > i:
-            if not any(t.text[p] == "(" and t.partner[p] > j for p in range(max(0, i - 12), i)):
+            # within round brackets that reach further, as of a tuple, an assignment may still follow
+            p = t.outer[i]
+            while p >= 0 and not (t.text[p] == "(" and t.partner[p] > j):
+                p = t.outer[p]
+            if p < 0:
                 return False
         j += 1
     return False
@@ -218,6 +224,44 @@ def events(t: Tokens, src: str, names: set[str], locals_: dict[str, str]) -> lis
     return [(kind, name) for _, _, kind, name in sorted(got, key=lambda e: (e[0], e[1]))]
 
 
+_VARIABLE = re.compile(
+    # fixed values: a type, what may stand between, and the name before a semicolon or an assignment
+    r"(?:mapping|uint\d*|int\d*|address|bool|bytes\d*|string|I[A-Z]\w+|[A-Z]\w+)\b(?:\s*\([^)]*\))?(?:\s*\[\])*"
+    r"(?:\s+(?:public|private|internal|external|constant|immutable|override|payable))*\s+(\w+)\s*[;=]"
+)
+# How lines begin that declare no variable, and how headers of bodies end.
+_NO_VARIABLE = (
+    "event ", "error ", "modifier ", "function ", "using ", "import ", "struct ", "enum ", "constructor", "receive()",
+    "fallback()", "pragma ", "interface ", "library ", "abstract ", "//", "*", "/*",
+)
+_NO_NAMES = {
+    "returns", "return", "if", "else", "for", "while", "do", "require", "emit", "new", "delete", "memory", "storage",
+    "calldata", "override", "virtual",
+}
+
+
+def contract_variables(src: str) -> set[str]:
+    """Variables declared on lines of the first contract that lie in no inner braces, by expressions."""
+    opening = re.search(r"contract\s+\w+[^{]*\{", src or "")
+    if not opening:
+        return set()
+    names, depth, line = set(), 1, []
+    for ch in src[opening.end():]:
+        if ch in "{}":
+            depth += 1 if ch == "{" else -1
+            line = []
+            if not depth:
+                break
+        elif ch != "\n":
+            line.append(ch)
+        else:
+            text, line = "".join(line).strip(), []
+            found = _VARIABLE.search(text) if depth == 1 and text and not text.startswith(_NO_VARIABLE) else None
+            if found and found.group(1) not in _NO_NAMES:
+                names.add(found.group(1))
+    return names
+
+
 def extract_function(src: str, name: str) -> str | None:
     """C14: the first function of that name with its body, by matching braces."""
     t = scan(src)
@@ -275,8 +319,31 @@ def functions_of(df: DataFrame, id_col: str, text: str, state_vars: str) -> Data
                     key, loc, sorted({x for _, x in accesses(t, known, loc)}),
                     [{k: c[k] for k in ("call_text", "method", "receiver", "is_cast")} for c in member_calls(t, src)],
                     [{"kind": a, "name": b} for a, b in events(t, src, known, loc)],
-                    t.matched and "function" in t.text[:400],
+                    t.matched and "function" in t.text,
                 ))
             yield pd.DataFrame(rows, columns=[id_col, "locals", "identifiers", "calls", "events", "parsed"])
 
     return df.select(id_col, text, state_vars).mapInPandas(run, f"`{id_col}` {kind}, {FUNCTION_SCHEMA}")
+
+
+def bodies_of(df: DataFrame, id_col: str, text: str, name: str) -> DataFrame:
+    """C14 over a table: ``<id_col>, body``: the function of that name with its body, null if there is none."""
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [extract_function(src, n) if src and n else None for src, n in zip(pdf[text], pdf[name])]
+            yield pd.DataFrame({id_col: pdf[id_col], "body": pd.Series(found, dtype=object)})
+
+    return df.select(id_col, text, name).mapInPandas(run, f"`{id_col}` {kind}, body string")
+
+
+def variables_of(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    """C16 over a table: ``<id_col>, variables``, sorted; empty for a null text."""
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({id_col: pdf[id_col], "variables": [sorted(contract_variables(s)) if s else [] for s in pdf[text]]})
+
+    return df.select(id_col, text).mapInPandas(run, f"`{id_col}` {kind}, variables array<string>")

@@ -38,6 +38,11 @@ def swap_literals(src: Column) -> Column:
     )
 
 
+def line_of(src: Column, offset: Column) -> Column:
+    """The number, from 1, of the line in which a character stands."""
+    return F.length(F.regexp_replace(F.substring(src, F.lit(1), offset), r"[^\n]", "")) + 1
+
+
 def basename(path: Column) -> Column:
     """what follows the last slash."""
     return F.substring_index(path, "/", -1)
@@ -115,9 +120,11 @@ def is_view_or_pure(src: Column) -> Column:
 
 def writes_any(src: Column, names: Column) -> Column:
     """C20: any of the names followed by an assignment in its line; order is not looked at."""
+    # fixed value: the pattern after the name; signs in a name stand for themselves
+    plain = lambda v: F.regexp_replace(v, r"([^A-Za-z0-9_])", r"\\$1")
     return F.exists(
         names,
-        lambda v: F.regexp_like(src, F.concat(F.lit(r"\b"), v, F.lit(r"\b\s*[\[.]?[^\n]*\s*[+\-*/]?="))),
+        lambda v: F.regexp_like(src, F.concat(F.lit(r"\b"), plain(v), F.lit(r"\b\s*[\[.]?[^\n]*\s*[+\-*/]?="))),
     )
 
 
@@ -133,9 +140,30 @@ CALL_PATTERNS = [
 ]
 
 
+#: A hit of the call patterns holds a member access with an opening bracket after it.
+_ANY_CALL = "(?i)" + "|".join(CALL_PATTERNS)
+
+
 def scan_calls(src: Column) -> Column:
     """All hits of the call patterns in order, without context."""
-    return F.regexp_extract_all(src, F.lit("(?i)" + "|".join(CALL_PATTERNS)), F.lit(0))
+    return F.regexp_extract_all(src, F.lit(_ANY_CALL), F.lit(0))
+
+
+def with_context(src: Column, hits: Column, before: int = 40, after: int = 20) -> Column:
+    """Each hit of ``scan_calls`` with what stands around it, blanks trimmed and collapsed.
+
+    Where a hit stands follows from the lengths of the hits and of the text between them.
+    """
+    between = F.split(src, _ANY_CALL)
+    length = lambda parts, n: F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda s, x: s + F.length(x))
+
+    def one(hit: Column, i: Column) -> Column:
+        start = length(between, i + 1) + length(hits, i)
+        first = F.greatest(start - before, F.lit(0))
+        cut = F.substring(src, first + 1, start + F.length(hit) + after - first)
+        return F.regexp_replace(F.regexp_replace(cut, r"(?U)\A\s+|\s+\z", ""), r"(?U)\s+", " ")
+
+    return F.transform(hits, one)
 
 
 def call_method(call: Column) -> Column:

@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.operators.dedup import first_wins
-from weftline.session import materialize
+from weftline.session import materialize, scratch
 
 
 def ancestor_paths(nodes: DataFrame, edges: DataFrame, levels: int = 100) -> DataFrame:
@@ -16,28 +15,32 @@ def ancestor_paths(nodes: DataFrame, edges: DataFrame, levels: int = 100) -> Dat
 
     ``nodes`` has ``node``, ``edges`` has ``node, base, ord``. The path is the array of base
     ordinals; the least path is the first visit in depth-first order. Cycles end where they close;
-    bases that are no node are followed no further but listed. One join per level of the hierarchy.
+    bases that are no node are followed no further but listed. One join per level of the hierarchy:
+    only visits that come before all earlier ones of the same node and ancestor are kept and followed,
+    since whatever a later visit leads to has been seen from the earlier one.
     """
-    trail = F.array("node").alias("trail")
-    level = nodes.select("node", F.col("node").alias("ancestor"), F.array().cast("array<int>").alias("path"), trail)
-    level = materialize(level.distinct(), "closure")
-    found = [level]
+    spark = nodes.sparkSession
     e = edges.select(F.col("node").alias("ancestor"), F.col("base"), F.col("ord").cast("int").alias("ord")).dropna()
-    for _ in range(levels):
-        step = level.join(e, "ancestor").where(~F.array_contains("trail", F.col("base"))).select(
-            "node", F.col("base").alias("ancestor"), F.concat("path", F.array("ord")).alias("path"),
-            F.concat("trail", F.array("base")).alias("trail"),
-        )
-        level = materialize(step, "closure")
-        if level.isEmpty():
-            break
-        found.append(level)
-    else:
-        raise ValueError(f"the hierarchy is deeper than {levels} levels")
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    return first_wins(every.select("node", "ancestor", "path"), ["node", "ancestor"], ["path"])
+    with scratch(spark) as keep:
+        own = nodes.select("node", F.col("node").alias("ancestor"), F.array().cast("array<int>").alias("path"), F.array("node").alias("trail"))
+        level = best = materialize(own.distinct(), "closure")
+        for _ in range(levels):
+            step = level.join(e, "ancestor").where(~F.array_contains("trail", F.col("base"))).select(
+                "node", F.col("base").alias("ancestor"), F.concat("path", F.array("ord")).alias("path"),
+                F.concat("trail", F.array("base")).alias("trail"),
+            )
+            first = step.groupBy("node", "ancestor").agg(F.min(F.struct("path", "trail")).alias("v")).select("node", "ancestor", "v.*")
+            seen = best.select("node", "ancestor", F.col("path").alias("known"))
+            level = first.join(seen, ["node", "ancestor"], "left").where("known is null or path < known").drop("known")
+            level = materialize(level, "closure")
+            if level.isEmpty():
+                break
+            both = best.unionByName(level).groupBy("node", "ancestor").agg(F.min(F.struct("path", "trail")).alias("v"))
+            best = materialize(both.select("node", "ancestor", "v.*"), "closure")
+        else:
+            raise ValueError(f"the hierarchy is deeper than {levels} levels")
+        keep(best)
+    return best.drop("trail")
 
 
 def inherited_set(paths: DataFrame, members: DataFrame) -> DataFrame:

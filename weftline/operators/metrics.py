@@ -96,3 +96,11 @@ def false_positive_rate(df: DataFrame, score: str, threshold: float) -> DataFram
 def conclusion(gap: Column, truncated_share: Column) -> Column:
     """What the diagnostics point at."""
     return F.when(gap > 0.15, "source gap").when(truncated_share >= 0.5, "truncation").otherwise("neither")
+
+
+def review_groups(df: DataFrame, split: str, cross: str, score: str, threshold: float) -> DataFrame:
+    """``<split>, <cross>, caught, missed, priority``: items at and below a threshold by group; groups across
+    contracts come first, and test before val before train in both kinds."""
+    place = F.when(F.col(split) == "test", 1).when(F.col(split) == "val", 2).when(F.col(split) == "train", 3)
+    counts = df.groupBy(split, cross).agg(F.count_if(F.col(score) >= threshold).alias("caught"), F.count_if(F.col(score) < threshold).alias("missed"))
+    return counts.withColumn("priority", place + F.when(F.col(cross), 0).otherwise(3))

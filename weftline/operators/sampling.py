@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -86,6 +86,32 @@ def split_search(groups: DataFrame, runs: int, shares: Sequence[float] = (0.70,
     return total.where(valid).select("run", *[(F.col(f"pos{i}") + F.col(f"neg{i}")).alias(f"n{i}") for i in range(len(shares))], F.round(score, 9).alias("score"))
 
 
+def constrained_search(
+    groups: DataFrame, runs: int, ranges: Mapping[tuple[str, int], tuple[float, float]], wanted: Sequence[tuple[str, str, float]],
+    shares: Sequence[float] = (0.70, 0.15, 0.15),
+) -> DataFrame:
+    """O10 in full: ``run, <sums>, score`` of random assignments of whole groups that keep every hard range.
+
+    ``groups`` has ``grp`` and counts; ``ranges`` bounds the sum of a count in a split, ``(column, split) -> (least,
+    most)``; ``wanted`` has ratios to come near in every split, ``(part, whole, share)``. The score is the sum
+    over splits of how far each ratio is off; a ratio of nothing is 0. Sums of a run are combined on the map
+    side, so what is shuffled is a row a run and task. Without a valid run the result is empty.
+    """
+    needed = dict.fromkeys([c for c, _ in ranges] + [c for p, w, _ in wanted for c in (p, w)])
+    drawn = groups.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs))))
+    drawn = drawn.withColumn("__s", split_draw(F.col("grp"), F.col("run"), shares))
+    sums = [F.sum(F.when(F.col("__s") == i, F.col(c)).otherwise(0)).alias(f"{c}{i}") for c in needed for i in range(len(shares))]
+    total = drawn.groupBy("run").agg(*sums)
+    valid, score = F.lit(True), F.lit(0.0)
+    for (c, i), (least, most) in ranges.items():
+        valid = valid & F.col(f"{c}{i}").between(least, most)
+    for part, whole, share in wanted:
+        for i in range(len(shares)):
+            score = score + F.abs(F.coalesce(F.try_divide(F.col(f"{part}{i}"), F.col(f"{whole}{i}")), F.lit(0.0)) - share)
+    bounded = [f"{c}{i}" for c, i in ranges]
+    return total.where(valid).select("run", *bounded, F.round(score, 9).alias("score"))
+
+
 def pick_run(scored: DataFrame, place: int = 6) -> DataFrame:
     """O2: the run at ``place`` in order of score, or the last if there are fewer."""
     ranked = scored.orderBy("score", "run").limit(place)

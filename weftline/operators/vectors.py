@@ -80,6 +80,15 @@ def hashed_encoder(dim: int = 64):
     return encode
 
 
+def counting_encoder():
+    """An encoder whose vectors SQL can work out too: letters, words between blanks, digits of a text."""
+
+    def encode(texts: list[str]) -> list[list[float]]:
+        return [[float(len(t)), float(t.count(" ") + 1), float(sum(c in "0123456789" for c in t))] for t in texts]
+
+    return encode
+
+
 def train_head(x: np.ndarray, y: np.ndarray, hidden: int = 16, epochs: int = 200, patience: int = 20, seed: int = 42, rate: float = 1e-3, decay: float = 1e-5) -> dict[str, np.ndarray]:
     """M6: a two-layer head on pooled vectors: weighted logistic loss, Adam, early stopping.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.functions import rules, text
 from weftline.operators import metrics
 from weftline.plans.registry import query, table
 
@@ -114,11 +115,40 @@ def f09_reresolution(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query(_SCORED + """SELECT CASE WHEN n_chars > 256 THEN 'long' ELSE 'short' END AS kind, count_if(score >= 0.5) AS caught, count_if(score < 0.5) AS missed,
-  CASE WHEN n_chars > 256 THEN 1 ELSE 2 END AS priority FROM s WHERE label = 1 GROUP BY 1, 4""")
+_CROSS = r"""WITH h AS (SELECT DISTINCT hyperedge_id, regexp_replace(list_last(string_split(trim(file), '/')), '\.[^.]*$', '') AS own, external_calls AS ec FROM forge_constructable_hyperedges),
+x AS (SELECT hyperedge_id, coalesce(len(list_filter(ec, lambda c: regexp_extract(c, '^\s*([A-Za-z_$][\w$]*)', 1) NOT IN ('', 'this') AND regexp_extract(c, '^\s*([A-Za-z_$][\w$]*)', 1) <> own)) > 0, false) AS is_cross FROM h),
+s AS (SELECT x.hyperedge_id, lower(trim(split)) AS split, is_cross, (('0x' || left(sha256('s:' || x.hyperedge_id), 6))::BIGINT % 1000) / 1000 AS score
+  FROM x JOIN split_items USING (hyperedge_id) WHERE split IS NOT NULL AND label = 1)
+"""
+
+
+def _reviewed(spark: SparkSession, sf: str) -> DataFrame:
+    """``hyperedge_id, split, is_cross, score`` of the positives in a split, with a hash as a model's score."""
+    receivers = F.transform("external_calls", lambda c: F.nullif(text.call_receiver(c), F.lit("")))
+    cross = rules.leaves_contract(receivers, text.stem(F.trim("file")), F.array().cast("array<string>"))
+    h = table(spark, sf, "forge_constructable_hyperedges").select("hyperedge_id", cross.alias("is_cross")).distinct()
+    s = table(spark, sf, "split_items").where("split is not null and label = 1").select("hyperedge_id", F.lower(F.trim("split")).alias("split"))
+    score = F.conv(F.substring(F.sha2(F.concat(F.lit("s:"), F.col("hyperedge_id").cast("string")), 256), 1, 6), 16, 10).cast("long")
+    return h.join(s, "hyperedge_id").withColumn("score", F.pmod(score, F.lit(1000)) / 1000)
+
+
+@query(_CROSS + """SELECT split, is_cross, count_if(score >= 0.5) AS caught, count_if(score < 0.5) AS missed,
+  CASE split WHEN 'test' THEN 1 WHEN 'val' THEN 2 WHEN 'train' THEN 3 END + CASE WHEN is_cross THEN 0 ELSE 3 END AS priority FROM s GROUP BY 1, 2""")
 def f10_review_groups(spark: SparkSession, sf: str) -> DataFrame:
-    """Positives caught and missed, by review group in order of priority."""
-    long = F.col("n_chars") > 256
-    return scored(spark, sf).where("label = 1").groupBy(
-        F.when(long, "long").otherwise("short").alias("kind"), F.when(long, 1).otherwise(2).alias("priority")
-    ).agg(F.count_if(F.col("score") >= 0.5).alias("caught"), F.count_if(F.col("score") < 0.5).alias("missed"))
+    """Positives caught and missed by review group: cross-contract ones first, test before val before train."""
+    return metrics.review_groups(_reviewed(spark, sf), "split", "is_cross", "score", 0.5)
+
+
+@query("""SELECT hyperedge_id, CASE WHEN hyperedge_id IN (SELECT hyperedge_id FROM forge_hyperedge_examples WHERE len(state_vars_accessed) > 1) THEN 1 ELSE 0 END AS label FROM split_items""")
+def f11_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """1 for the items that are among the positives (here: examples of several variables), else 0."""
+    positives = table(spark, sf, "forge_hyperedge_examples").where("size(state_vars_accessed) > 1").select("hyperedge_id").distinct().withColumn("is_positive", F.lit(True))
+    return table(spark, sf, "split_items", "hyperedge_id").join(positives, "hyperedge_id", "left").select("hyperedge_id", rules.label_of(F.col("is_positive")).alias("label"))
+
+
+@query("""WITH c AS (SELECT lower(trim(split)) AS split, count(*) AS n, count_if(source = 'forge_main') AS k FROM split_items WHERE split IS NOT NULL GROUP BY 1)
+SELECT split, round(coalesce(k * 100.0 / nullif(n, 0), 0), 2) AS pct FROM c""")
+def f12_percent(spark: SparkSession, sf: str) -> DataFrame:
+    """the share of one collection in each split, in percent to two places."""
+    s = table(spark, sf, "split_items").where("split is not null").groupBy(F.lower(F.trim("split")).alias("split"))
+    return s.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("source") == "forge_main").alias("k")).select("split", text.percent(F.col("k"), F.col("n")).alias("pct"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.functions import rules, text
 from weftline.operators import aggregates, dedup
 from weftline.operators import sampling as ops
 from weftline.plans.registry import query, table
@@ -157,10 +160,61 @@ def e09_union_pools(spark: SparkSession, sf: str) -> DataFrame:
     return ops.union_pools(c, s)
 
 
-@query("""SELECT example_id, list_sort(list_distinct(e.state_vars_accessed)) = list_sort(list_distinct(h.state_vars_accessed)) AS same_vars
-FROM forge_hyperedge_examples e JOIN (SELECT DISTINCT hyperedge_id, state_vars_accessed FROM forge_constructable_hyperedges) h USING (hyperedge_id)""")
-def e10_set_equality(spark: SparkSession, sf: str) -> DataFrame:
-    """Whether an example and its hyperedge have the same variables."""
-    e = table(spark, sf, "forge_hyperedge_examples").select("example_id", "hyperedge_id", F.col("state_vars_accessed").alias("own"))
-    h = table(spark, sf, "forge_constructable_hyperedges", "hyperedge_id", "state_vars_accessed").distinct()
-    return e.join(h, "hyperedge_id").select("example_id", dedup.same_set(F.col("own"), F.col("state_vars_accessed")).alias("same_vars"))
+_M = r"list_sort(list_distinct(list_transform({c}, lambda x: regexp_extract(x, '\.(\w+)\s*(?:\{{[^}}]*\}})?\s*\(', 1))))"
+
+
+@query(rf"""WITH h AS (SELECT DISTINCT hyperedge_id, state_vars_accessed AS sv, external_calls AS ec FROM forge_constructable_hyperedges)
+SELECT example_id, list_sort(list_distinct(e.state_vars_accessed)) = list_sort(list_distinct(h.sv)) AS state_vars_match,
+  {_M.format(c="e.external_calls")} = {_M.format(c="h.ec")} AS ext_calls_match,
+  coalesce(len(list_filter(e.external_calls, lambda x: regexp_extract(x, '^\s*([A-Za-z_$][\w$]*)', 1) NOT IN ('', 'this'))) > 0, false)
+  = coalesce(len(list_filter(h.ec, lambda x: regexp_extract(x, '^\s*([A-Za-z_$][\w$]*)', 1) NOT IN ('', 'this'))) > 0, false) AS cc_match,
+  len(e.state_vars_accessed) > 0 AND len(e.external_calls) > 0 AS hyperedge_constructable
+FROM forge_hyperedge_examples e JOIN h USING (hyperedge_id)""")
+def e10_consistency(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether an example agrees with its hyperedge in variables, methods called and going abroad, and is whole."""
+    e = table(spark, sf, "forge_hyperedge_examples").select("example_id", "hyperedge_id", F.col("state_vars_accessed").alias("v"), F.col("external_calls").alias("c"))
+    h = table(spark, sf, "forge_constructable_hyperedges").select("hyperedge_id", F.col("state_vars_accessed").alias("v2"), F.col("external_calls").alias("c2")).distinct()
+    methods = lambda c: F.transform(c, text.call_method)
+    receivers = lambda c: F.transform(c, lambda x: F.nullif(text.call_receiver(x), F.lit("")))
+    none = F.array().cast("array<string>")
+    leaves = lambda c: rules.leaves_contract(receivers(c), F.lit(""), none)
+    return e.join(h, "hyperedge_id").select(
+        "example_id", dedup.same_set(F.col("v"), F.col("v2")).alias("state_vars_match"), dedup.same_set(methods("c"), methods("c2")).alias("ext_calls_match"),
+        (leaves("c") == leaves("c2")).alias("cc_match"), ((F.size("v") > 0) & (F.size("c") > 0)).alias("hyperedge_constructable"),
+    )
+
+
+# Groups of the search below: customers of one nation, with counts of orders. The hard ranges are fifteen
+# hundredths around the wanted shares of all orders, finished or not, and of urgent finished ones in two splits.
+_RANGED = [("pos", 0, 0.7), ("pos", 1, 0.15), ("pos", 2, 0.15), ("neg", 0, 0.7), ("neg", 1, 0.15), ("neg", 2, 0.15), ("extra", 1, 0.15), ("extra", 2, 0.15)]
+_TYPES = [("t1", 0.2), ("t2", 0.2), ("t3", 0.2), ("t4", 0.2)]
+_SUMS = ", ".join(f"sum(CASE WHEN s = {i} THEN {c} ELSE 0 END) AS {c}{i}" for c in ("pos", "neg", "extra", "pcross", "ncross", "t1", "t2", "t3", "t4") for i in range(3))
+_HELD = " AND ".join(f"{c}{i} BETWEEN floor({w} * a{c} * 0.85) AND ceil({w} * a{c} * 1.15)" for c, i, w in _RANGED)
+_OFF = " + ".join(
+    [f"abs(coalesce(pcross{i} / nullif(pos{i}, 0), 0) - 0.5) + abs(coalesce(ncross{i} / nullif(neg{i}, 0), 0) - 0.5)" for i in range(3)]
+    + [f"abs(coalesce({t}{i} / nullif(pos{i}, 0), 0) - {w})" for t, w in _TYPES for i in range(3)]
+)
+
+
+@query(f"""WITH o AS (SELECT c_nationkey AS grp, o_orderstatus = 'F' AS done, o_orderpriority AS p FROM orders JOIN customer ON o_custkey = c_custkey),
+g AS (SELECT grp, count_if(done) AS pos, count_if(NOT done) AS neg, count_if(done AND p = '1-URGENT') AS extra, count_if(done AND p IN ('1-URGENT', '2-HIGH')) AS pcross,
+  count_if(NOT done AND p IN ('1-URGENT', '2-HIGH')) AS ncross, count_if(done AND p = '1-URGENT') AS t1, count_if(done AND p = '2-HIGH') AS t2, count_if(done AND p = '3-MEDIUM') AS t3,
+  count_if(done AND p = '5-LOW') AS t4 FROM o GROUP BY 1),
+a AS (SELECT sum(pos) AS apos, sum(neg) AS aneg, sum(extra) AS aextra FROM g),
+d AS (SELECT *, ('0x' || left(sha256(run || ':' || grp), 8))::BIGINT / 4294967296.0 AS u FROM g, (SELECT unnest(range(1, 20001)) AS run)),
+s AS (SELECT *, CASE WHEN u < 0.7 THEN 0 WHEN u < 0.85 THEN 1 ELSE 2 END AS s FROM d), t AS (SELECT run, {_SUMS} FROM s GROUP BY 1)
+SELECT run, {", ".join(f"{c}{i}" for c, i, _ in _RANGED)}, round({_OFF}, 9) AS score FROM t, a WHERE {_HELD}""")
+def e11_constrained_search(spark: SparkSession, sf: str) -> DataFrame:
+    """20,000 draws of nations with all their orders, eight hard ranges, scored by ratios in every split."""
+    o = table(spark, sf, "orders").join(table(spark, sf, "customer", "c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).select(
+        F.col("c_nationkey").alias("grp"), (F.col("o_orderstatus") == "F").alias("done"), F.col("o_orderpriority").alias("p")
+    )
+    done, top = F.col("done"), F.col("p").isin("1-URGENT", "2-HIGH")
+    groups = aggregates.conditional_counts(o, ["grp"], {
+        "pos": done, "neg": ~done, "extra": done & (F.col("p") == "1-URGENT"), "pcross": done & top, "ncross": ~done & top,
+        "t1": done & (F.col("p") == "1-URGENT"), "t2": done & (F.col("p") == "2-HIGH"), "t3": done & (F.col("p") == "3-MEDIUM"), "t4": done & (F.col("p") == "5-LOW"),
+    }).drop("n")
+    whole = groups.agg(*[F.sum(c).alias(c) for c in ("pos", "neg", "extra")]).first()
+    ranges = {(c, i): (math.floor(w * (whole[c] or 0) * 0.85), math.ceil(w * (whole[c] or 0) * 1.15)) for c, i, w in _RANGED}
+    wanted = [("pcross", "pos", 0.5), ("ncross", "neg", 0.5), *((t, "pos", w) for t, w in _TYPES)]
+    return ops.constrained_search(groups, 20_000, ranges, wanted)
