@@ -182,8 +182,8 @@ def test_hyperedge_of_a_source(spark):
 
 def test_transforms():
     src = "function f(uint a) external { uint b = a; x.go(b); y = b; }"
-    renamed = augment.rename_locals(src, "aug1", {"y"})
-    assert "uint b_aug1 = a_aug1" in renamed and "x.go(b_aug1)" in renamed
+    renamed, back = augment.renamed(solidity.scan(src), src, "aug1", {"y"})
+    assert "uint b_aug1 = a_aug1" in renamed and "x.go(b_aug1)" in renamed and back == {"a_aug1": "a", "b_aug1": "b"}
     assert "_inert_val_7 = 7 + 8" in augment.inject(src, True, 7)
     assert augment.inject("no body", True, 1) == "no body"
 
@@ -217,3 +217,98 @@ def test_near_duplicates(spark):
     known = spark.createDataFrame([("f", "abcdefghij" * 5)], "b string, t string")
     rows = spark.createDataFrame([(1, "f", "abcdefghij" * 5), (2, "f", "abcdefghij" * 5 + "x"), (3, "f", "z" * 50), (4, "g", "abcdefghij" * 5), (5, "f", None)], "i int, b string, t string")
     assert {r["i"] for r in joins.near_duplicates_of(rows, known, "i", "b", "t").collect()} == {1, 2}
+
+
+def test_steps_in_python_agree_with_those_in_the_jvm(spark, sf):
+    rows = spark.read.parquet(f"{sf}/forge_hyperedge_examples.parquet").where("function_source is not null").select(
+        "function_source", text.clean_comments(F.col("function_source")).alias("c"), text.swap_literals(F.col("function_source")).alias("s")
+    ).collect()
+    odd = ["a //b\r c\n /*x*/ y", "uint x = 0x0; uint256 y", "address(0) uint256\u00a0 z", "\x1c a \u2003b", ""]
+    extra = spark.createDataFrame([(x,) for x in odd], "t string").select("t", text.clean_comments(F.col("t")).alias("c"), text.swap_literals(F.col("t")).alias("s")).collect()
+    for src, c, s in map(tuple, rows + extra):
+        assert (augment.cleaned(src), augment.swapped(src)) == (c, s)
+
+
+def test_an_exception_is_a_reason(spark):
+    df = spark.createDataFrame([(i, "function f() { token.go(); total = 1; }", 0, ["token"], {"token": "IToken"}) for i in (1, 2)], "i int, s string, y int, v array<string>, types map<string,string>")
+    made = augment.variants(df, "i", "s", "y", "v", "types")
+    failed = made.withColumn("error", F.when((F.col("variant") == 2) & (F.col("i") == 1), "KeyError").otherwise(F.col("error")))
+    own = df.select("i", text.source_hash(F.col("s")).alias("own_hash"))
+    reasons = {(r["i"], r["variant"]): r["reason"] for r in augment.verify(failed, "i", own, own.limit(0).select(F.col("own_hash").alias("hash"))).collect()}
+    assert reasons == {(1, 1): "duplicate_variant", (1, 2): "exception_KeyError", (2, 1): "duplicate_variant", (2, 2): None}
+
+
+def test_a_parse_needs_no_early_function():
+    src = "/* note */ " + "uint x; " * 700 + "function f(uint[2][3] memory a, mapping(address => uint) storage b) internal { (a, b.c) = g(a); total = 1; }"
+    got = augment.structure(src, {"total"}, {})
+    assert got["parsed"] and got["vars"] == ["total"] and ("write", "total") in got["events"]
+    deep = "function f() { (" + ", ".join(f"v{i}" for i in range(40)) + ", total) = g(); }"
+    assert ("write", "v0") in augment.structure(deep, {"v0"}, {})["events"]
+
+
+def test_names_with_signs_stand_for_themselves(spark):
+    df = spark.createDataFrame([("a$b = 1;", ["a$b"]), ("axb = 1;", ["a.b"]), ("x = 1;", ["("])], "s string, v array<string>")
+    assert [r[0] for r in df.select(text.writes_any(F.col("s"), F.col("v"))).collect()] == [True, False, False]
+
+
+def test_wide_ranges_are_not_cut(spark):
+    rng = np.random.default_rng(1)
+    rows = [("f", int(a), int(a + rng.integers(0, 30))) for a in rng.integers(0, 400, 60)] + [("f", 0, 999_999), ("f", 5, 3)]
+    a = spark.createDataFrame(rows, "k string, s int, e int")
+    b = spark.createDataFrame(rows, "k string, s2 int, e2 int")
+    got = joins.overlapping_in_blocks(a, b, ["k"], ("s", "e"), ("s2", "e2"), 10, most=3).collect()
+    want = [(x, y) for x in rows for y in rows if x[1] <= y[2] and y[1] <= x[2] and x[1] <= x[2] and y[1] <= y[2]]
+    assert len(got) == len(want) and {tuple(r)[1:] for r in got} == {(x[1], x[2], y[1], y[2]) for x, y in want}
+
+
+def test_closures_of_random_hierarchies(spark):
+    """First visits against a depth-first walk with one set of visited nodes for all siblings."""
+    rng = np.random.default_rng(4)
+    edges = sorted({(f"n{a}", f"n{b}") for a, b in rng.integers(0, 14, (26, 2)) if a != b})
+    ords, rows = {}, []
+    for a, b in edges:
+        rows.append((a, b, ords.setdefault(a, 0)))
+        ords[a] += 1
+    bases = {}
+    for a, b, o in rows:
+        bases.setdefault(a, []).append(b)
+
+    def walk(node, seen, path, out):
+        seen.add(node)
+        out[node] = path
+        for i, b in enumerate(bases.get(node, [])):
+            if b not in seen:
+                walk(b, seen, [*path, i], out)
+        return out
+
+    got = {(r["node"], r["ancestor"]) for r in _hierarchy(spark, rows).collect()}
+    nodes = {x for a, b, _ in rows for x in (a, b)}
+    assert got == {(n, a) for n in nodes for a in walk(n, set(), [], {})}
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    import difflib
+
+    rng = np.random.default_rng(6)
+    base = ["".join(rng.choice(list("abcdefgh"), 60)) for _ in range(4)]
+    texts = [b[:i] + x + b[i:] for b in base for i, x in ((10, "z"), (20, "zzz"), (30, "z" * 9), (5, ""), (7, "zzzzzz"), (9, "z" * 20))]
+    rows = spark.createDataFrame([(i, "f", t) for i, t in enumerate(texts)], "i int, b string, t string")
+    known = spark.createDataFrame([("f", b) for b in base], "b string, t string")
+    want = {i for i, t in enumerate(texts) for b in base if difflib.SequenceMatcher(None, t, b).ratio() > 0.9}
+    assert 4 < len(want) < 24 and {r["i"] for r in joins.near_duplicates_of(rows, known, "i", "b", "t").collect()} == want
+
+
+def test_tables_of_a_block_are_deleted(spark, tmp_path):
+    from weftline.session import materialize, scratch
+
+    df = spark.range(3)
+    with scratch(spark) as outer:
+        with scratch(spark) as keep:
+            gone, kept = materialize(df, "a"), materialize(df, "b")
+            keep(kept)
+        from pathlib import Path
+        from urllib.parse import urlparse
+
+        there = lambda t: Path(urlparse(t._weftline_folder).path).exists()
+        assert kept.count() == 3 and there(kept) and not there(gone)
+    assert not there(kept)

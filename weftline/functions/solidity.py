@@ -115,7 +115,7 @@ def parse_contracts(src: str) -> list[dict]:
                         body = t.partner[body] + 1 if t.text[body] == "(" and t.partner[body] > body else body + 1
                     stop = t.partner[body] if body < close and t.text[body] == "{" else min(body, close)
                     if t.text[k] == "function" and k + 1 < close and t.kind[k + 1] == "id":
-                        functions.append({"name": t.text[k + 1], "start": t.start[k], "end": t.end[min(stop, n - 1)]})
+                        functions.append({"name": t.text[k + 1], "start": t.start[k], "end": t.end[min(stop, n - 1)], "has_body": body < close and t.text[body] == "{"})
                     k = stop + 1
                 elif t.text[k] in {"struct", "enum"}:
                     while k < close and t.text[k] != "{":
@@ -276,7 +276,7 @@ def extract_function(src: str, name: str) -> str | None:
 
 
 CONTRACT_SCHEMA = """bundle string, file string, ord int, name string, kind string, bases array<string>,
-    state_vars array<string>, types map<string,string>, functions array<struct<name:string,start:int,end:int>>"""
+    state_vars array<string>, types map<string,string>, functions array<struct<name:string,start:int,end:int,has_body:boolean>>"""
 
 
 def contracts_of(sources: DataFrame, bundle: str = "bundle", file: str = "file", text: str = "text") -> DataFrame:

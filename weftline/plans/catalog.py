@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.plans import evaluation, filters, graphs, keys, sampling, source_code, vectors, windows  # noqa: F401
+from weftline.plans import evaluation, filters, graphs, keys, sampling, scans, source_code, vectors, windows  # noqa: F401
 from weftline.plans.registry import QUERIES, SQL, Query
 
 

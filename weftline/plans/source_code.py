@@ -65,6 +65,23 @@ def h04_fan_out(spark: SparkSession, sf: str) -> DataFrame:
     return made.join(train.select("example_id", augment.source_id(F.trim("vfp_id"), id_=F.col("example_id")).alias("source_id")), "example_id")
 
 
+@query("""SELECT * FROM (VALUES (1, 1, 'sequence_order_changed'), (1, 2, NULL), (2, 1, 'not_constructable'), (2, 2, 'not_constructable'), (3, 1, 'duplicate_variant'), (3, 2, 'parse_failure'),
+  (4, 1, 'duplicate_variant'), (4, 2, NULL), (5, 1, NULL), (5, 2, NULL), (5, 3, NULL), (5, 4, NULL), (5, 5, NULL), (6, 1, 'duplicate_variant'), (6, 2, 'eval_leakage_collision')) t(id, variant, reason)""")
+def h05_worked_variants(spark: SparkSession, sf: str) -> DataFrame:
+    """T1-T7 on hand-worked sources: an argument renamed within a call's text (1), no call (2), brackets that never close
+    (3), nothing to rename or swap (4), a positive with locals in no call (5), a hash of an evaluation split (6)."""
+    rows = [
+        (1, "function f(uint a) external { token.go(a); total = a; }", 0), (2, "function f(uint a) external { total = a; }", 0), (3, "function f( { broken", 0),
+        (4, "function g() external { token.go(); total = 1; }", 0), (5, "function h(uint a) external { uint b = a; token.go(); total = b; }", 1), (6, "function k() external { token.go(); total = 1; }", None),
+    ]
+    items = spark.createDataFrame(rows, "id int, src string, label int").withColumns({
+        "vars": F.array(F.lit("token"), F.lit("total")), "types": F.create_map(F.lit("token"), F.lit("IToken")),
+    })
+    held = spark.createDataFrame([("functionk()external{uint256_inert_val_602=602+603;token.go();total=1;}",)], "t string").select(F.sha2("t", 256).alias("hash"))
+    own = items.select("id", text.source_hash(F.col("src")).alias("own_hash"))
+    return augment.verify(augment.variants(items, "id", "src", "label", "vars", "types"), "id", own, held)
+
+
 # Rejections over rows of events: rows of one user in id order, the value in whole tens as the key.
 _STATEFUL = """WITH t AS (SELECT user_id, event_id, CAST(floor(value / 10) AS BIGINT) AS key, CASE WHEN event_type = 'error' THEN 'error_event' END AS reason FROM events),
 f AS (SELECT *, min(CASE WHEN reason IS NULL THEN event_id END) OVER (PARTITION BY user_id, key) AS first FROM t)

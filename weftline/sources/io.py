@@ -14,11 +14,13 @@ ANNOTATION_SCHEMA = "filePath string, SWCs array<struct<category string, functio
 
 
 def read_bundles(spark: SparkSession, path: str) -> DataFrame:
-    """A folder of JSON bundles, one document a file, with a fixed schema (no inference pass).
+    """A folder of JSON bundles, one document a file, with a fixed schema (no inference pass) and the
+    ``stem`` of the file's name.
 
     A file that is no JSON gives no row.
     """
-    return spark.read.schema(BUNDLE_SCHEMA).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+    raw = spark.read.schema(BUNDLE_SCHEMA).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+    return raw.withColumn("stem", F.regexp_replace(F.col("_metadata.file_name"), r"\.json\z", ""))
 
 
 def findings_of(bundles: DataFrame) -> DataFrame:
