@@ -152,18 +152,27 @@ def scan_calls(src: Column) -> Column:
 def with_context(src: Column, hits: Column, before: int = 40, after: int = 20) -> Column:
     """Each hit of ``scan_calls`` with what stands around it, blanks trimmed and collapsed.
 
-    Where a hit stands follows from the lengths of the hits and of the text between them.
+    A hit stands at the first place after the hit before it where its text stands: at an earlier place
+    the patterns would have matched too.
     """
-    between = F.split(src, _ANY_CALL)
-    length = lambda parts, n: F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda s, x: s + F.length(x))
 
-    def one(hit: Column, i: Column) -> Column:
-        start = length(between, i + 1) + length(hits, i)
+    def one(done: Column, hit: Column) -> Column:
+        start = F.call_function("locate", hit, src, done["at"]) - 1
         first = F.greatest(start - before, F.lit(0))
         cut = F.substring(src, first + 1, start + F.length(hit) + after - first)
-        return F.regexp_replace(F.regexp_replace(cut, r"(?U)\A\s+|\s+\z", ""), r"(?U)\s+", " ")
+        clean = F.regexp_replace(F.regexp_replace(cut, r"(?U)\A\s+|\s+\z", ""), r"(?U)\s+", " ")
+        return F.struct((start + F.length(hit) + 1).alias("at"), F.concat(done["out"], F.array(clean)).alias("out"))
 
-    return F.transform(hits, one)
+    begin = F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("out"))
+    return F.aggregate(hits, begin, one, lambda done: done["out"])
+
+
+def apply_edits(src: Column, edits: Column) -> Column:
+    """A text with the ranges of ``ARRAY<STRUCT<start, stop, new>>`` (from 0, not overlapping) replaced, from the last
+    one to the first, so that no edit moves another. No edits leave the text; null edits give null."""
+    last_first = F.array_sort(F.transform(edits, lambda e: F.struct((-e["start"]).alias("o"), e["stop"].alias("stop"), e["new"].alias("new"))))
+    cut = lambda s, e: F.concat(F.substring(s, F.lit(1), -e["o"]), e["new"], F.substring(s, e["stop"] + 1, F.length(s)))
+    return F.aggregate(last_first, src, cut)
 
 
 def call_method(call: Column) -> Column:

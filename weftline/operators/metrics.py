@@ -28,16 +28,33 @@ def confusion(df: DataFrame, label: str, score: str, threshold: float, *groups:
     return c.withColumns({"precision": p, "recall": r, "f1": _div(2 * p * r, p + r)})
 
 
+#: Parts of the range of a unit of scores whose running sums are made side by side.
+CURVE_PARTS = 4_096
+
+
 def _curve(df: DataFrame, label: str, score: str, groups: Sequence[str]) -> DataFrame:
+    """Counts of each distinct score with the running and whole sums of its group, from the highest score down.
+
+    Scores are cut into parts, which are summed first; a score then needs the sums of the parts above its
+    own and a running sum within it. So no task holds all scores of a group, only those of a part, or the
+    sums of the parts.
+    """
     by = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(*groups, F.col(score).alias("s")).agg(
         F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("n")
-    )
-    down = Window.partitionBy(*groups).orderBy(F.desc("s"))
-    whole = Window.partitionBy(*groups)
-    return by.withColumns({
-        "tp": F.sum("p").over(down), "fp": F.sum("n").over(down),
-        "all_pos": F.sum("p").over(whole), "all_neg": F.sum("n").over(whole),
-    })
+    ).withColumn("part", F.floor(F.col("s") * CURVE_PARTS))
+    parts = by.groupBy(*groups, "part").agg(F.sum("p").alias("pp"), F.sum("n").alias("pn"))
+    above, whole = Window.partitionBy(*groups).orderBy(F.desc("part")), Window.partitionBy(*groups)
+    parts = parts.withColumns({
+        "p0": F.sum("pp").over(above) - F.col("pp"), "n0": F.sum("pn").over(above) - F.col("pn"),
+        "all_pos": F.sum("pp").over(whole), "all_neg": F.sum("pn").over(whole),
+    }).drop("pp", "pn")
+    same = F.lit(True)
+    for i, c in enumerate([*groups, "part"]):
+        parts = parts.withColumnRenamed(c, f"__k{i}")
+        same = same & F.col(c).eqNullSafe(F.col(f"__k{i}"))
+    joined = by.join(parts, same).drop(*[f"__k{i}" for i in range(len(groups) + 1)])
+    down = Window.partitionBy(*groups, "part").orderBy(F.desc("s"))
+    return joined.withColumns({"tp": F.col("p0") + F.sum("p").over(down), "fp": F.col("n0") + F.sum("n").over(down)})
 
 
 def roc_auc(df: DataFrame, label: str, score: str, *groups: str) -> DataFrame:
@@ -50,13 +67,12 @@ def roc_auc(df: DataFrame, label: str, score: str, *groups: str) -> DataFrame:
 
 def pr_auc(df: DataFrame, label: str, score: str, *groups: str) -> DataFrame:
     """Trapezoids under the precision-recall curve, from recall 0 at precision 1."""
-    c = _curve(df, label, score, groups).withColumns({
-        "prec": F.col("tp") / (F.col("tp") + F.col("fp")), "rec": _div(F.col("tp"), F.col("all_pos")),
-    })
-    down = Window.partitionBy(*groups).orderBy(F.desc("s"))
-    c = c.withColumns({"prec0": F.lag("prec", 1, 1.0).over(down), "rec0": F.lag("rec", 1, 0.0).over(down)})
-    area = F.sum((F.col("rec") - F.col("rec0")) * (F.col("prec") + F.col("prec0")) / 2)
-    return c.groupBy(*groups).agg(F.coalesce(area, F.lit(0.0)).alias("pr_auc"))
+    # a point follows from the sums at its score, the point before it from the same without its own counts
+    point = lambda tp, fp: (F.coalesce(F.try_divide(tp, tp + fp), F.lit(1.0)), _div(tp, F.col("all_pos")))
+    prec, rec = point(F.col("tp"), F.col("fp"))
+    prec0, rec0 = point(F.col("tp") - F.col("p"), F.col("fp") - F.col("n"))
+    area = F.sum((rec - rec0) * (prec + prec0) / 2)
+    return _curve(df, label, score, groups).groupBy(*groups).agg(F.coalesce(area, F.lit(0.0)).alias("pr_auc"))
 
 
 def threshold_at_recall(df: DataFrame, label: str, score: str, recall: float = 0.95, grid: int = 10_000) -> DataFrame:

@@ -184,6 +184,14 @@ def e10_consistency(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("SELECT p_partkey, 'X' || substr(p_name, 2, length(p_name) - 4) || 'Y' || right(p_name, 1) AS edited FROM part WHERE length(p_name) > 4")
+def e12_edits(spark: SparkSession, sf: str) -> DataFrame:
+    """The first letter, and the two before the last, replaced at once."""
+    n = F.length("p_name")
+    edits = F.array(F.struct(F.lit(0).alias("start"), F.lit(1).alias("stop"), F.lit("X").alias("new")), F.struct((n - 3).alias("start"), (n - 1).alias("stop"), F.lit("Y").alias("new")))
+    return table(spark, sf, "part", "p_partkey", "p_name").where(n > 4).select("p_partkey", text.apply_edits(F.col("p_name"), edits).alias("edited"))
+
+
 # Groups of the search below: customers of one nation, with counts of orders. The hard ranges are fifteen
 # hundredths around the wanted shares of all orders, finished or not, and of urgent finished ones in two splits.
 _RANGED = [("pos", 0, 0.7), ("pos", 1, 0.15), ("pos", 2, 0.15), ("neg", 0, 0.7), ("neg", 1, 0.15), ("neg", 2, 0.15), ("extra", 1, 0.15), ("extra", 2, 0.15)]
