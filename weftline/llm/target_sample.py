@@ -71,21 +71,21 @@ def draw_by_counts(rows: DataFrame, key: str, id_col: str, quota: DataFrame, see
 
     A histogram of hash bins, combined on the map side, tells which bin of each key holds the last
     row drawn; all rows of lower bins are taken, and only that bin is ranked. ``quota`` is a table
-    of one row per category and is broadcast.
+    of one row per category; its size and that of the bins decide whether they are broadcast.
     """
     h = F.xxhash64(F.lit(seed), F.col(id_col))
     hashed = rows.withColumn("__h", h).withColumn("__bin", F.shiftrightunsigned("__h", 52))
     upto = Window.partitionBy(key).orderBy("__bin")
     bins = (
         hashed.groupBy(key, "__bin").agg(F.count(F.lit(1)).alias("c"))
-        .withColumn("sum", F.sum("c").over(upto)).join(F.broadcast(quota), key)
+        .withColumn("sum", F.sum("c").over(upto)).join(quota, key)
         .where(F.expr("sum - c < n and sum >= n")).select(key, F.col("__bin").alias("edge"), F.expr("n - (sum - c)").alias("left"))
     )
     everything = quota.join(
         rows.groupBy(key).agg(F.count(F.lit(1)).alias("have")), key
     ).where("n >= have").select(key, F.lit(BINS).cast("bigint").alias("edge"), F.lit(0).cast("bigint").alias("left"))
     edges = bins.join(everything.select(key), key, "left_anti").unionByName(everything)
-    marked = hashed.join(F.broadcast(edges), key)
+    marked = hashed.join(edges, key)
     sure = marked.where("__bin < edge")
     rank = F.row_number().over(Window.partitionBy(key).orderBy("__h", id_col))
     last = marked.where("__bin = edge").withColumn("__r", rank).where("__r <= left").drop("__r")
