@@ -71,14 +71,15 @@ def labels(tokens: np.ndarray, bounds: np.ndarray, trees: int, k: int) -> tuple[
     if not len(texts):
         return np.zeros((0, trees), np.uint64), texts
     rng = np.random.default_rng(SEED)
-    mul = rng.integers(0, 1 << 63, trees * DEEPEST, np.uint64) * np.uint64(2) + np.uint64(1)
-    add = rng.integers(0, 1 << 64, trees * DEEPEST, np.uint64)
+    mul = rng.integers(0, 1 << 31, trees * DEEPEST, np.uint32) * np.uint32(2) + np.uint32(1)
+    add = rng.integers(0, 1 << 32, trees * DEEPEST, np.uint32)
     out = np.zeros((trees, len(texts)), np.uint64)
+    x = (x >> np.uint64(32)).astype(np.uint32)  # half the bits are enough to order runs, at half the cost
     buffer = np.empty_like(x)
     for j in range(len(mul)):
         np.multiply(x, mul[j], out=buffer)
         np.add(buffer, add[j], out=buffer)
-        level = mix(np.minimum.reduceat(buffer, first)) >> np.uint64(56)
+        level = mix(np.minimum.reduceat(buffer, first).astype(np.uint64) + np.uint64(j << 32)) >> np.uint64(56)
         out[j // DEEPEST] |= level << np.uint64(56 - 8 * (j % DEEPEST))
     return np.ascontiguousarray(out.T), texts
 
