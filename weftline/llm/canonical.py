@@ -83,8 +83,10 @@ def sorted_fields(text: str) -> str:
     return "".join(stack[0][2])
 
 
-def canonical_text(text: Column) -> Column:
-    """Letters and digits in order, lower case, the fields of each ``({ ... })`` sorted (``sorted_fields``)."""
+def canonical_text(text: Column, words: Column | None = None) -> Column:
+    """Letters and digits in order, lower case, the fields of each ``({ ... })`` sorted (``sorted_fields``).
+
+    ``words``, if given, is the text's ``words_text``, from which a text without literals is read."""
     between = F.split(text, LITERAL)
     literals = F.regexp_extract_all(text, F.lit(LITERAL), F.lit(0))
 
@@ -92,16 +94,17 @@ def canonical_text(text: Column) -> Column:
         fields = F.array_sort(F.transform(F.split(F.get(literals, i), ","), letters_and_digits))
         return F.concat(letters_and_digits(outside), F.coalesce(F.array_join(fields, ""), F.lit("")))
 
-    sorted_form = F.array_join(F.transform(between, one), "")
-    # what is left when the plain literals are gone: a literal that needs the stack
-    harder = text.rlike(OPENING) & F.regexp_replace(text, LITERAL, "").rlike(OPENING)
-
     @F.pandas_udf("string")
     def stacked(texts: pd.Series) -> pd.Series:
         return texts.map(sorted_fields, na_action="ignore")
 
-    by_stack = letters_and_digits(stacked(F.when(harder, text)))
-    return F.when(harder, by_stack).when(text.rlike(OPENING), sorted_form).otherwise(letters_and_digits(text))
+    sorted_form = F.array_join(F.transform(between, one), "")
+    # a plain literal has one opening, so there are more of them where a literal needs the stack
+    opened = F.regexp_count(text, F.lit(OPENING))
+    harder = opened > F.size(literals)
+    by_stack = letters_and_digits(stacked(F.when(text.contains("{") & harder, text)))
+    plain = letters_and_digits(text) if words is None else F.replace(words, F.lit(" "), F.lit(""))
+    return F.when(~text.contains("{") | (opened == 0), plain).when(harder, by_stack).otherwise(sorted_form)
 
 
 def copy_key(text: Column) -> Column:

@@ -72,7 +72,7 @@ def tokenized(df: DataFrame, id_col: str, text_col: str, *keep: str) -> DataFram
     text = F.col(text_col)
     words = words_text(text)
     ready = df.where(text.isNotNull() & text.rlike(r"[^\s\p{Z}]")).select(
-        F.col(id_col).alias("id"), *keep, words.alias("words"), F.xxhash64(canonical_text(text)).alias("p"),
+        F.col(id_col).alias("id"), *keep, words.alias("words"), F.xxhash64(canonical_text(text, words)).alias("p"),
     ).select("id", *keep, F.xxhash64("words").alias("w"), "p", "words")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ready.schema if f.name != "words")
 
