@@ -250,7 +250,7 @@ def index_shards(texts: DataFrame, symbols: int) -> tuple[str, int]:
 def fingerprints(tokens: np.ndarray, bounds: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Winnowed fingerprints of texts, and the text of each: any two texts that share a run of
     ``least`` symbols share one. Of each window of run hashes that such a run spans, the least is taken."""
-    k = max(1, least // 2)
+    k = max(1, least - 2)
     w = least - k + 1
     h, owner = runs(tokens, bounds, k)
     if len(h) < w:

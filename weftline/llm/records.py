@@ -12,11 +12,12 @@ GRADES = {
     "Critical": ["critical", "crit"], "High": ["high"], "Medium": ["medium", "med"],
     "Low": ["low"], "Informational": ["informational", "info"],
 }
-BLANKS = r"[\s\p{Z}]+"
+# White space and separators.
+BLANKS = " \t\n\x0b\f\r\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def stripped(name: Column) -> Column:
-    return F.regexp_replace(name, rf"\A{BLANKS}|{BLANKS}\z", "")
+    return F.btrim(name, F.lit(BLANKS))
 
 
 def named(name: Column) -> Column:
