@@ -246,6 +246,13 @@ def test_a_parse_needs_no_early_function():
     assert ("write", "v0") in augment.structure(deep, {"v0"}, {})["events"]
 
 
+def test_variables_by_expressions():
+    src = "contract A is B {\n  uint256 public total;\n  mapping(address => uint) private held;\n  IToken token = IToken(x);\n  event E(uint a);\n  struct S {\n    uint inner;\n  }\n  function f() external {\n    if (a) { uint z = 1; }\n    uint y;\n  }\n  bool done; }\n uint after;\n"
+    assert solidity.contract_variables(src) == {"total", "held", "token"}
+    assert solidity.contract_variables("contract A {\n uint a;\n function f() {\n uint b;\n") == {"a"}
+    assert solidity.contract_variables("no contrac") == set() and solidity.contract_variables("") == set()
+
+
 def test_names_with_signs_stand_for_themselves(spark):
     df = spark.createDataFrame([("a$b = 1;", ["a$b"]), ("axb = 1;", ["a.b"]), ("x = 1;", ["("])], "s string, v array<string>")
     assert [r[0] for r in df.select(text.writes_any(F.col("s"), F.col("v"))).collect()] == [True, False, False]

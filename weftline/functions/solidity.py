@@ -240,26 +240,21 @@ _NO_NAMES = {
 }
 
 
+_INNER = re.compile(r"[^\n{}]*\{[^{}]*\}")
+
+
 def contract_variables(src: str) -> set[str]:
-    """Variables declared on lines of the first contract that lie in no inner braces, by expressions."""
+    """Variables declared on lines of the first contract that lie in no inner braces, by expressions.
+
+    Inner braces are taken out from the innermost on, with what stands before them in their line.
+    """
     opening = re.search(r"contract\s+\w+[^{]*\{", src or "")
-    if not opening:
-        return set()
-    names, depth, line = set(), 1, []
-    for ch in src[opening.end():]:
-        if ch in "{}":
-            depth += 1 if ch == "{" else -1
-            line = []
-            if not depth:
-                break
-        elif ch != "\n":
-            line.append(ch)
-        else:
-            text, line = "".join(line).strip(), []
-            found = _VARIABLE.search(text) if depth == 1 and text and not text.startswith(_NO_VARIABLE) else None
-            if found and found.group(1) not in _NO_NAMES:
-                names.add(found.group(1))
-    return names
+    body, found = (src[opening.end():], 1) if opening else ("", 0)
+    while found:
+        body, found = _INNER.subn("\n", body)
+    lines = re.split(r"[{}]", body, maxsplit=1)[0].split("\n")[:-1]  # a line that a brace ends declares nothing
+    declared = (_VARIABLE.search(x) for x in map(str.strip, lines) if x and not x.startswith(_NO_VARIABLE))
+    return {m.group(1) for m in declared if m} - _NO_NAMES
 
 
 def extract_function(src: str, name: str) -> str | None:
