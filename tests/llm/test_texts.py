@@ -137,6 +137,7 @@ def test_pieces(spark, limit, overlap):
         assert (len(own) > 1) == (len(text) > limit)
         for a, b in zip(own, own[1:]):
             assert b["overlap"] <= overlap and a["piece"].endswith(b["piece"][: b["overlap"]])
+            assert b["overlap"] >= min(overlap // 2, len(a["piece"]) - a["overlap"])
             assert not (a["piece"].endswith("\r") and b["piece"][b["overlap"]:].startswith("\n"))
         if text is code and limit == 1200:
             assert all(r["piece"].rstrip("\r\n")[-1] in "};" for r in own)

@@ -37,7 +37,8 @@ def pieces_of(text: Column, limit: int = 1200, overlap: int = 120) -> Column:
 
     A text of at most ``limit`` code points is one piece, an empty one one empty piece. Every
     piece of a longer text has at most ``limit`` code points, of which the first ``overlap`` or
-    fewer repeat the end of the piece before, from a line start where its tail holds one.
+    fewer repeat the end of the piece before, from a line start where the first half of its tail holds
+    one. At least half of ``overlap`` is repeated, or all of the piece before where that has less.
     ``substring(piece, overlap + 1)`` of all pieces in order gives the text again.
     """
     if not 0 <= overlap < limit - 8:
@@ -47,7 +48,9 @@ def pieces_of(text: Column, limit: int = 1200, overlap: int = 120) -> Column:
     def with_lookback(parts: Column) -> Column:
         def one(body: Column, i: Column) -> Column:
             tail = F.when(i == 0, F.lit("")).otherwise(F.right(F.get(parts, i - 1), F.lit(overlap)))
-            tail = F.regexp_replace(tail, r"(?s)\A[^\n]*\n(?=.)", "") if overlap else F.lit("")
+            # a tail is only cut at its begin if it has the whole length
+            begin = rf"(?s)\A[^\n]{{0,{overlap - overlap // 2 - 1}}}\n(?=.{{{max(overlap // 2, 1)}}})"
+            tail = F.regexp_replace(tail, begin, "") if overlap else F.lit("")
             return F.struct(F.length(tail).alias("overlap"), F.concat(tail, body).alias("piece"))
 
         return F.transform(parts, one)
