@@ -319,3 +319,20 @@ def test_tables_of_a_block_are_deleted(spark, tmp_path):
         there = lambda t: Path(urlparse(t._weftline_folder).path).exists()
         assert kept.count() == 3 and there(kept) and not there(gone)
     assert not there(kept)
+
+
+def test_empty_tables(spark):
+    files = spark.createDataFrame([("b", "f", 0, None), ("b", "g", 1, "no contract")], "bundle string, file string, place int, text string")
+    from weftline.operators import hyperedges
+
+    assert hyperedges.hyperedges_of(files).count() == 0 and hyperedges.hyperedges_of(files.limit(0)).count() == 0
+    groups = spark.createDataFrame([], "grp int, pos long")
+    assert sampling.constrained_search(groups, 5, {("pos", 0): (0, 1)}, [("pos", "pos", 0.5)]).count() == 0
+    items = spark.createDataFrame([], "i int, s string, y int, v array<string>")
+    assert augment.variants(items, "i", "s", "y", "v").count() == 0
+    keyed = spark.createDataFrame([], "file string, k string, bundle long")
+    assert joins.resolve_bundle(keyed, keyed, keyed, ["k"]).count() == 0
+    scores = spark.createDataFrame([], "y int, s double")
+    assert metrics.pr_auc(scores, "y", "s").first()[0] == 0 and metrics.roc_auc(scores, "y", "s").first()[0] == 0
+    edits = spark.createDataFrame([("abc", []), (None, []), ("abc", None), ("", [(0, 0, "x")])], "s string, e array<struct<start:int,stop:int,new:string>>")
+    assert [r[0] for r in edits.select(text.apply_edits(F.col("s"), F.col("e"))).collect()] == ["abc", None, None, "x"]
