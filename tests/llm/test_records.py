@@ -384,7 +384,7 @@ def test_splits_of_many_shards(spark, monkeypatch):
     monkeypatch.setattr(related_splits, "SHARD_UNITS", 60)
     rng = np.random.default_rng(15)
     rows = [(f"u{u}", "a" if rng.random() < 0.2 else "b") for u in np.minimum(rng.zipf(1.3, 6000), 900)]
-    df = spark.createDataFrame(rows, "unit string, label string")
+    df = spark.createDataFrame(rows, "unit string, label string").withColumn("split", F.lit("clash"))
     got = related_splits.swap_search_splits(df, "label", steps=2000).collect()
     assert len(got) == 6000 and all(len({r["split"] for r in got if r["unit"] == u}) == 1 for u in ("u1", "u2", "u900"))
     report = related_splits.split_report(spark.createDataFrame(got), "label", queries.NAMES, queries.SHARES).collect()

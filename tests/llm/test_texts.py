@@ -68,6 +68,8 @@ def test_p7_on_all_documents(spark, sf, reference):
 def test_containers(spark):
     rng = np.random.default_rng(1)
     rows = [(i, int(n)) for i, n in enumerate(rng.integers(0, 400, 3000))] + [(9000, 2048), (9001, 5000), (9002, None), (9003, 0), (7, 3)]
+    odd = spark.createDataFrame([(None, 5), (None, 5), (1, -3), (None, None)], "id bigint, n int").withColumn("container_id", F.lit("clash"))
+    assert sorted((r["n_tokens"], r["container_id"]) for r in packing.fill_containers(odd, "id", "n").collect() if r["n_tokens"]) == [(5, 0), (5, 0)]
     got = packing.fill_containers(spark.createDataFrame(rows, "id bigint, n int"), "id", "n").collect()
     load, segments = {}, {}
     for r in got:

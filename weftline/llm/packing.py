@@ -75,11 +75,11 @@ def fill_containers(
     where it is null, they are all but the first of a segment, which nothing predicts. Any piece may
     hold all of its row's. Rows with more of them than ``max_loss`` (the capacity, if not given) are
     never cut for it, but get a container alone; no container of several rows has more.
-    A row of size 0 or null takes no room: one piece of 0 tokens, container null. Ids need not be
+    A row of size 0 or less or null takes no room: one piece of 0 tokens, container null. Ids need not be
     unique: every row is packed. Containers are numbered from 0 without gaps.
     """
     max_loss = max_loss or capacity
-    n = F.coalesce(F.col(size_col), F.lit(0)).cast("long")
+    n = F.greatest(F.coalesce(F.col(size_col), F.lit(0)).cast("long"), F.lit(0))
     all_but_one = F.greatest(n - 1, F.lit(0))
     bounded = F.least(F.greatest(F.col(loss_col or size_col).cast("long"), F.lit(0)), n)
     given = F.when(F.col(loss_col).isNotNull(), bounded).otherwise(all_but_one) if loss_col else all_but_one

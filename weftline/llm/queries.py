@@ -88,9 +88,10 @@ def p3_torn(spark: SparkSession, sf: str) -> DataFrame:
     placed = _splits(spark, sf)
     torn = lambda c: placed.where(F.col(c).isNotNull()).groupBy(c).agg(F.count_distinct("split").alias("n")).agg(F.count_if(F.col("n") > 1).alias(f"torn_{c}s"))
     n = placed.groupBy("split").agg(F.count(F.lit(1)).alias("n")).agg(
-        F.sum("n").alias("n_rows"), F.map_from_entries(F.collect_list(F.struct("split", "n"))).alias("by")
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.map_from_entries(F.collect_list(F.struct("split", "n"))).alias("by")
     )
-    off = sum((F.abs(F.coalesce(F.col("by")[s], F.lit(0)) / F.col("n_rows") - w) > 0.01).cast("long") for s, w in zip(NAMES, SHARES))
+    share = lambda s: F.try_divide(F.coalesce(F.col("by")[s], F.lit(0)), F.col("n_rows"))
+    off = sum(F.coalesce((F.abs(share(s) - w) > 0.01).cast("long"), F.lit(0)) for s, w in zip(NAMES, SHARES))
     return n.select("n_rows", off.alias("off_splits")).crossJoin(torn("bundle")).crossJoin(torn("file"))
 
 

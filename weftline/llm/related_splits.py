@@ -113,7 +113,8 @@ def swap_search_splits(
     components on average; of the ``chains`` of a shard the best is kept. In further turns, as long as
     they help and the deviation is above ``near``, each shard takes over an equal part, by its components, of what the splits of all shards
     are off, which is where a component too large for its shard is made up for. Only sums by split and label (a bounded table)
-    come to the driver. Deterministic for given rows. Nothing is dropped; an empty table stays empty.
+    come to the driver. Deterministic for given rows. No row is dropped; a column ``split`` is replaced; an empty table stays
+    empty.
     """
     spark = units.sparkSession
     value = F.coalesce(F.col(label).cast("string"), F.lit("\0"))
@@ -169,7 +170,7 @@ def swap_search_splits(
         split = F.get(F.array(*[F.lit(n) for n in names]), F.col("place")).alias("split")
         by_unit = materialize(best.select("unit", split), "unitsplit")
         keep(by_unit)
-    return units.join(by_unit, "unit")
+    return units.drop("split").join(by_unit, "unit")
 
 
 def split_report(splits: DataFrame, label: str, names: Sequence[str], shares: Sequence[float]) -> DataFrame:
