@@ -50,33 +50,35 @@ _IDENTIFIER = re.compile(r"\b_*(?:[A-Z][a-z]*|[a-z]{2,})(?:[A-Z][a-z]{3,}\w*)+(?
 _EMPHASIS = re.compile(r"(?<![^\W_])_+|_+(?![^\W_])")
 _SPELLED = re.compile(r"(?<![^\W_])[^\W\d_](?:[.\-_*·|]{1,2}[^\W\d_]){2,}(?![^\W_])|(?<![^\W_])[^\W\d_](?: [^\W\d_]){3,}(?![^\W_])")
 _DRAWN_OUT = re.compile(r"([^\W\d_])\1{2,}")
+# what every spelled word begins with; sought first, since few texts have it
+_MAY_SPELL = re.compile(r"(?<![^\W_])[^\W\d_][.\-_*·| ]{1,2}[^\W\d_][.\-_*·| ]")
 _SIGNS = re.compile(r"[.\-_*·| ]")
 _END = re.compile(r"""(?<=[.!?…。！？])["'”’)]*\s+|[\r\n|]+|(?:\\[nrt])+|"\s*[:,}\]]\s*"?|\u2028|\u2029""")
+_PIECE = re.compile(r"\w+(?:[@$#*!+]\w+|[@$#*])*(?:\.sol\b)?|[@$#*]\w+")
 _WORD = re.compile(r"[^\W_]+(?:[@$#*!+][^\W_]+|[@$#*])*|[@$#*][^\W_]+")
 
 
 def plain(text: str) -> str:
-    """Without invisible characters, compatibility forms, accents, drawn-out letters and underscores around
-    words; words spelled letter by letter are joined, identifiers of code replaced by one word."""
+    """Without invisible characters, compatibility forms and accents; words spelled letter by letter are joined."""
     if not text.isascii():
         text = unicodedata.normalize("NFKD", text).translate(_LETTERS_ONLY)
-    text = _DRAWN_OUT.sub(r"\1", _IDENTIFIER.sub(" xid ", text))
-    if "_" in text:
-        text = _EMPHASIS.sub(" ", text)
-    return _SPELLED.sub(lambda m: _SIGNS.sub("", m.group()), text).lower()
+    return _SPELLED.sub(lambda m: _SIGNS.sub("", m.group()), text) if _MAY_SPELL.search(text) else text
 
 
 class _Words(dict):
-    """The form of each word met: signs for letters undone, '' for numbers."""
+    """The words that each piece of text without blanks stands for: identifiers of code give one word,
+    underscores around words, drawn-out letters and signs for letters are undone, numbers are none."""
 
-    def __missing__(self, word: str) -> str:
+    def __missing__(self, piece: str) -> tuple[str, ...]:
         if len(self) >= KNOWN_WORDS:
             self.clear()
-        self[word] = form = word if word.isalpha() else "" if word.isdigit() else word.translate(_LOOK)
-        return form
+        text = _EMPHASIS.sub(" ", _IDENTIFIER.sub(" xid ", piece)).lower()
+        found = (_DRAWN_OUT.sub(r"\1", w) for w in _WORD.findall(text) if not w.isdigit())
+        self[piece] = words = tuple(w if w.isalpha() else w.translate(_LOOK) for w in found)
+        return words
 
 
-_forms = _Words()
+_words = _Words()
 
 
 def passages(text: str | None) -> list[list[str]]:
@@ -86,7 +88,7 @@ def passages(text: str | None) -> list[list[str]]:
     out = []
     for part in _END.split(plain(text)):
         if part and not part.isspace():
-            words = [form for w in _WORD.findall(part) if (form := _forms[w])]
+            words = [w for piece in _PIECE.findall(part) for w in _words[piece]]
             if len(words) <= PASSAGE_WORDS:
                 out.append(words)
                 continue
@@ -266,7 +268,7 @@ def train(texts: list[str | None], labels: np.ndarray, rounds: int = 3, seed: in
         # the worst passage of an abusive text stands for it; a text without any bad one is a slip
         best = np.full(len(texts), -np.inf)
         np.maximum.at(best, doc, z)
-        top = bad & (z >= best[doc] - 1e-9) & (best[doc] > (-3.0 if turn == 0 else -1.0))
+        top = bad & (z >= best[doc] - 1e-9) & (best[doc] > (-3.0 if turn == 0 else 0.0))
         use = top | ~bad
         # likewise a clean text with a passage scored as plainly abusive counts little
         weight = np.where(bad, 1.0, np.where(z > 1.5, 0.2, 1.0)) * sure[doc]
